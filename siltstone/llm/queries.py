@@ -10,6 +10,52 @@ from siltstone.llm.common import Workspace, table
 SQL: dict[str, str] = {}
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import ToxicityClassifier, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    found = ToxicityClassifier().fit(docs, training_rows(table(spark, sf_dir, "labels"))).score(docs, ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), Workspace(spark, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+SQL["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN comp c ON c.node = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
+"""
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), Workspace(spark, "packing"), tokenizer_path())
+
+
+def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.sharding import shard
+
+    found = shard(table(spark, sf_dir, "documents"), Workspace(spark, "shards"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.jaccard_join import jaccard_components
 
