@@ -37,6 +37,28 @@ FROM v JOIN comp c ON c.node = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
 """
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "decontaminate"))
+    return found.drop("row")
+
+
+SQL["op4_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, array_to_string(q, ' ') AS q, len(q) AS n FROM (
+  SELECT item_id, unnest(CASE WHEN len(w) < 13 THEN [w] ELSE [w[i:i + 12] FOR i IN range(1, len(w) - 11)] END) AS q FROM b WHERE len(w) > 0)),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+hits AS (SELECT doc_id, s, p.n, item_id FROM (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS q FROM starts) x JOIN p ON p.q = x.q AND p.n = x.n),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM (SELECT DISTINCT doc_id, s, n FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -56,6 +78,12 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.license_scan import known_licenses, scan
+
+    return scan(table(spark, sf_dir, "documents"), known_licenses(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.jaccard_join import jaccard_components
 
@@ -87,4 +115,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from siltstone.llm.license_scan import scan_sql
+
+    return SQL | {"op8_license_scan": scan_sql()}
