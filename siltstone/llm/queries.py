@@ -37,6 +37,12 @@ FROM v JOIN comp c ON c.node = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"), Workspace(spark, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.decontaminate import decontaminate
 
@@ -78,6 +84,12 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.license_scan import known_licenses, scan
 
@@ -110,6 +122,14 @@ FROM sets s LEFT JOIN copies c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOI
 """
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.pii import replace_entities
+
+    found = replace_entities(table(spark, sf_dir, "documents"), Workspace(spark, "pii"), ["doc_id"])
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("entities.kind"))), ",")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
