@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 #: Fixed value: the 64-bit Rabin polynomial's low word.
 POLYNOMIAL = 0x911498AE0E66BAD6
@@ -53,16 +54,23 @@ def simhash(text: str | None) -> int | None:
     return int(sum(1 << i for i in range(64) if votes[i] > 0) - (1 << 64 if votes[63] > 0 else 0))
 
 
-@pandas_udf("long")
-def simhash_udf(text: pd.Series) -> pd.Series:
+def _simhashes(text: pd.Series) -> pd.Series:
     return text.map(simhash).astype("Int64")
 
 
-@pandas_udf("long")
-def rabin_udf(text: pd.Series) -> pd.Series:
+def _prints(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else rabin64_bytes(t.encode())).astype("Int64")
 
 
+def simhash_udf(text: str) -> Column:
+    """Column of 64-bit simhashes; made when called, as workers import this module too."""
+    return pandas_udf(_simhashes, LongType())(F.col(text))
+
+
+def rabin_udf(text: str) -> Column:
+    return pandas_udf(_prints, LongType())(F.col(text))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -13,7 +13,8 @@ XML_TYPES = ["text/xml", "application/xml"]
 #: Path extensions that are never text, and those that are.
 BINARY_EXTENSIONS = "jpg jpeg gif png bmp ico svg mp3 mp4 avi mov wmv flv wav swf zip gz tgz rar 7z exe dmg iso bin css js".split()
 TEXT_EXTENSIONS = "html htm shtml xhtml php asp aspx jsp cfm txt pdf doc xml rss atom".split()
-HTTP_DATES = ["EEE, dd MMM yyyy HH:mm:ss z", "EEEE, dd-MMM-yy HH:mm:ss z", "EEE MMM d HH:mm:ss yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
+#: Date forms without the name of the day, which says nothing new.
+HTTP_DATES = ["dd MMM yyyy HH:mm:ss z", "dd-MMM-yy HH:mm:ss z", "MMM d HH:mm:ss yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
 
 
 def header_map(block: Column) -> Column:
@@ -51,7 +52,8 @@ def extension(path: Column) -> Column:
 
 def http_date(text: Column) -> Column:
     """Seconds since 1970 of a date in any of the usual forms; null if in none."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in HTTP_DATES)).cast("long")
+    bare = F.regexp_replace(text, r"^\s*(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
+    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in HTTP_DATES)).cast("long")
 
 
 def freshness_seconds(status: Column, cache_control: Column, date: Column, expires: Column, last_modified: Column, age: Column) -> Column:

@@ -32,10 +32,10 @@ def outer_join_3way(spark, d):
 
 
 @query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.quality, d.lang, CASE WHEN l.doc_id IS NULL THEN 'd' WHEN d.doc_id IS NULL THEN 'l' ELSE 'dl' END AS tags
-FROM labels l FULL JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) d ON l.doc_id = d.doc_id""")
+FROM labels l FULL JOIN (SELECT * FROM documents WHERE lang <> 'en') d ON l.doc_id = d.doc_id""")
 def tagged_full_outer_join(spark, d):
     """All values of a key with the tags of the inputs that hold it."""
-    docs = read(spark, d, "documents").where("doc_id % 4 <> 0").select("doc_id", "lang", F.lit(True).alias("in_d"))
+    docs = read(spark, d, "documents").where("lang <> 'en'").select("doc_id", "lang", F.lit(True).alias("in_d"))
     j = read(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("in_l")).join(docs, "doc_id", "full_outer")
     return j.select("doc_id", "quality", "lang", F.when(F.col("in_l").isNull(), "d").when(F.col("in_d").isNull(), "l").otherwise("dl").alias("tags"))
 
@@ -61,20 +61,20 @@ def rank_rank_list_join(spark, d):
     return j.select("root", F.coalesce("rank", F.lit(0)).alias("dr"), F.coalesce("q", F.lit(0)).alias("qr"))
 
 
-@query("""WITH r AS (SELECT host, count(*) AS redirects FROM fetches WHERE http_result = 301 GROUP BY 1), s AS (SELECT host, count(*) AS ok FROM fetches WHERE http_result = 200 AND fetch_id % 5 = 0 GROUP BY 1)
+@query("""WITH r AS (SELECT host, count(*) AS redirects FROM fetches WHERE http_result = 301 GROUP BY 1), s AS (SELECT host, count(*) AS ok FROM fetches WHERE kind = 'purchase' GROUP BY 1)
 SELECT coalesce(r.host, s.host) AS host, redirects, ok FROM r FULL JOIN s ON r.host = s.host""")
 def redirect_stats_join(spark, d):
     f = view(spark, d, "fetches")
     r = f.where("http_result = 301").groupBy("host").agg(F.count("*").alias("redirects"))
-    return r.join(f.where("http_result = 200 and fetch_id % 5 = 0").groupBy("host").agg(F.count("*").alias("ok")), "host", "full_outer")
+    return r.join(f.where("kind = 'purchase'").groupBy("host").agg(F.count("*").alias("ok")), "host", "full_outer")
 
 
-@query("""WITH w AS (SELECT domain, count(*) FILTER (WHERE starts_with(host, 'www.')) AS www, count(*) FILTER (WHERE NOT starts_with(host, 'www.')) AS non_www FROM hosts GROUP BY 1), s AS (SELECT domain, max(length(html))::BIGINT AS longest FROM hosts WHERE page_id % 2 = 0 GROUP BY 1)
+@query("""WITH w AS (SELECT domain, count(*) FILTER (WHERE starts_with(host, 'www.')) AS www, count(*) FILTER (WHERE NOT starts_with(host, 'www.')) AS non_www FROM hosts GROUP BY 1), s AS (SELECT domain, max(length(html))::BIGINT AS longest FROM hosts WHERE starts_with(url, 'https') GROUP BY 1)
 SELECT domain, www, non_www, longest FROM w FULL JOIN s USING (domain)""")
 def www_prefix_join(spark, d):
     h, www = view(spark, d, "hosts"), F.startswith("host", F.lit("www."))
     w = h.groupBy("domain").agg(F.count_if(www).alias("www"), F.count_if(~www).alias("non_www"))
-    return w.join(h.where("page_id % 2 = 0").groupBy("domain").agg(F.max(F.length("html")).cast("long").alias("longest")), "domain", "full_outer")
+    return w.join(h.where("startswith(url, 'https')").groupBy("domain").agg(F.max(F.length("html")).cast("long").alias("longest")), "domain", "full_outer")
 
 
 @query("""WITH f AS (SELECT root, regexp_replace(host, '^www[.]', '') AS domain, count(*) AS n FROM fetches WHERE kind = 'error' GROUP BY 1, 2), s AS (SELECT root, count(*) AS total FROM fetches GROUP BY 1)
@@ -87,12 +87,12 @@ def dns_failure_join(spark, d):
     return f.groupBy("root").agg(F.count("*").alias("total")).join(e, "root", "left")
 
 
-@query("""WITH s AS (SELECT root, list_sort(list(DISTINCT domain)) AS subdomains FROM hosts GROUP BY 1), n AS (SELECT root, count(*) AS urls FROM hosts WHERE page_id % 3 <> 0 GROUP BY 1)
+@query("""WITH s AS (SELECT root, list_sort(list(DISTINCT domain)) AS subdomains FROM hosts GROUP BY 1), n AS (SELECT root, count(*) AS urls FROM hosts WHERE contains(url, '?') GROUP BY 1)
 SELECT root, urls, subdomains FROM n FULL JOIN s USING (root)""")
 def subdomain_list_join(spark, d):
     h = view(spark, d, "hosts")
     s = h.groupBy("root").agg(F.sort_array(F.collect_set("domain")).alias("subdomains"))
-    return h.where("page_id % 3 <> 0").groupBy("root").agg(F.count("*").alias("urls")).join(s, "root", "full_outer")
+    return h.where("contains(url, '?')").groupBy("root").agg(F.count("*").alias("urls")).join(s, "root", "full_outer")
 
 
 @query("""WITH i AS (SELECT root, list_sort(list(DISTINCT server_ip)) AS ips FROM fetches WHERE http_result = 200 GROUP BY 1), n AS (SELECT root, count(*) AS urls FROM fetches GROUP BY 1) SELECT root, urls, ips FROM n FULL JOIN i USING (root)""")

@@ -28,7 +28,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "source_root": "concat('dom', cast(l_suppkey % 7 as string), '.com')",
         "target": "concat('p', cast(l_partkey as string), '.dom', cast(l_partkey % 40 as string), '.com')",
         "target_root": "concat('dom', cast(l_partkey % 40 as string), '.com')",
-        "at": "l_shipdate",
+        "linked_at": "l_shipdate",
         "rel": "concat('html:a', case when l_linenumber % 3 = 0 then ':nofollow' else '' end)",
     }),
     "hosts": ("pages", {
