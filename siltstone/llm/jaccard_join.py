@@ -13,10 +13,11 @@ segments and then those with the longest posting lists, as counted over the
 whole corpus. How many segments of each kind a band gets is decided by cost.
 
 Sets that meet under a key are verified against the key's hub (the member with
-most company), then the links are closed to components, and only pairs of
-different components that the triangle inequality leaves open are verified
-after that. No link between different sets is lost: every pair that meets is
-verified, or already connected, or proven to be below the threshold.
+most company) and the links are closed to components. Two members that are
+still apart can link only if they differ from the hub in a common shingle and
+are about as far from it; only such pairs are verified after that. No link
+between different sets is lost: every pair that meets is verified, or already
+connected, or proven to be below the threshold.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from siltstone.llm.components import connected_components
 
 #: Members that are verified against one hub in one group of rows.
 CHUNK = 200
+#: Classes whose texts are fetched by a broadcast of their ids (16 bytes each); more go through a shuffle.
+BROADCAST_ROWS = 500_000
 #: Assumed chance that an unrelated document holds a given shingle.
 COINCIDENCE = 1 / 64
 _SLOT = 1 << 20
@@ -174,20 +177,33 @@ def _sets(n: int):
     return run
 
 
-def _verify(batches):
-    """Sorted rows (hub, chunk, member, items), the hub's own row first in its chunk."""
-    kind = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-    group = own = None
-    for batch in batches:
-        rows = []
-        for hub, chunk, member, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = np.frombuffer(items, np.uint64)
-            if member == hub:
-                group, own = (hub, chunk), s
-            elif group == (hub, chunk):
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                rows.append((hub, member, both, len(own) + len(s) - both))
-        yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], schema=kind)
+def _verify(percent: int):
+    """Sorted rows (hub, chunk, member, items), the hub's own row first in its chunk.
+
+    ``differ`` holds digests of shingles in which member and hub differ, as many
+    as any set that links with the member without sharing its component must
+    have in common with it at least once: new shingles first, then missing ones.
+    """
+    kind = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("common", pa.int64()), ("total", pa.int64()), ("differ", pa.list_(pa.int64()))])
+
+    def run(batches):
+        group = own = None
+        for batch in batches:
+            rows = []
+            for hub, chunk, member, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(items, np.uint64)
+                if member == hub:
+                    group, own = (hub, chunk), s
+                elif group == (hub, chunk):
+                    both = np.intersect1d(own, s, assume_unique=True)
+                    new, gone = (np.setdiff1d(x, both, assume_unique=True) for x in (s, own))
+                    apart = np.concatenate([new, gone])
+                    most = (100 - percent) * (len(s) + 100 * len(s) // percent) // (100 + percent)
+                    need = max(1, len(apart) - most)
+                    rows.append((hub, member, len(both), len(own) + len(s) - len(both), signed(apart[: len(apart) - need + 1])))
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, kind, strict=True)], schema=kind)
+
+    return run
 
 
 class JaccardJoin:
@@ -204,21 +220,57 @@ class JaccardJoin:
         self.n, self.percent, self.work = n, percent, work
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """pairs (hub, member) of digests -> (hub, member, common, total)."""
+    def _sets_of(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(h, items) for every class in ``pairs``, read again from one of its texts."""
+        ids = pairs.select(F.col("hub").alias("h")).union(pairs.select("member")).distinct()
+        wanted = self.work.keep(ids.join(classes, "h").select("h", "id"), "wanted")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = self.docs.alias("d").join(small.alias("w"), F.expr("d.id <=> w.id")).select("w.h", "d.text")
+        return self.work.keep(texts.mapInArrow(_sets(self.n), "h long, items binary").dropDuplicates(["h"]), "sets")
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs (hub, member) of digests -> (hub, member, common, total, differ)."""
         work, size = self.work, F.ceil(F.col("c") / CHUNK).cast("int")
         sizes = work.keep(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hubs")
         placed = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("member"), size).cast("int").alias("chunk"), "member")
         own = sizes.select("hub", F.explode(F.sequence(F.lit(0), size - 1)).alias("chunk"), F.col("hub").alias("member"))
         rows = work.keep(placed.union(own), "placed")
-        wanted = work.keep(rows.select(F.col("member").alias("h")).distinct().join(classes, "h").select("h", "id"), "wanted")
-        texts = self.docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id")).select("w.h", "d.text")
-        sets = work.keep(texts.mapInArrow(_sets(self.n), "h long, items binary").dropDuplicates(["h"]), "sets")
         full = rows.join(sets, rows.member == sets.h).select("hub", "chunk", "member", "items")
         sorted_rows = full.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("member") != F.col("hub"))
-        found = work.keep(sorted_rows.mapInArrow(_verify, "hub long, member long, common long, total long"), "verified")
-        work.forget(sets)
-        return found
+        return work.keep(sorted_rows.mapInArrow(_verify(self.percent), "hub long, member long, common long, total long, differ array<long>"), "verified")
+
+    def _close(self, held: DataFrame, classes: DataFrame) -> DataFrame:
+        """Groups ``held`` (key, h) whose members may link -> (node, component).
+
+        Each group's hub is tested against the other members and the links are
+        closed. Two members of different components can then link only if they
+        differ from the hub in a common shingle and are about as far from it (the
+        triangle inequality), so only such pairs are tested after that.
+        """
+        work = self.work
+        linked = F.expr(f"100 * common >= {self.percent} * total")
+        sizes = work.keep(held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        weight = work.keep(held.join(sizes, "key").groupBy("h").agg(F.sum("c").alias("w")), "weight")
+        held = work.keep(held.join(weight, "h").select("key", "h", "w"), "weighed")
+        hubs = work.keep(held.groupBy("key").agg(F.max(F.struct("w", "h")).getField("h").alias("hub"), F.count("*").alias("c")).where("c > 1"), "hub")
+        pairs = work.keep(held.join(hubs, "key").where("h <> hub").groupBy("hub", F.col("h").alias("member")).agg((F.max("c") > 2).alias("more")), "pairs")
+        sets = self._sets_of(pairs, classes)
+        tested = self._verified(pairs.select("hub", "member"), sets)
+        links = tested.where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b"))
+        comp = connected_components(links, work)
+        away = (1 - F.col("common") / F.col("total")).alias("away")
+        rows = tested.join(pairs.where("more"), ["hub", "member"]).select("hub", F.col("member").alias("h"), away, F.explode("differ").alias("x"))
+        rows = rows.join(comp, F.col("h") == F.col("node"), "left").select(F.xxhash64("hub", "x").alias("key"), "h", "away", F.coalesce("component", "h").alias("component"))
+        rows = work.keep(rows, "groups")
+        mixed = work.keep(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        rows = work.keep(rows.join(mixed, "key"), "open")
+        x, y = rows.alias("x"), rows.alias("y")
+        near = F.expr(f"x.key = y.key and x.h < y.h and x.component <> y.component and abs(x.away - y.away) <= {1 - self.percent / 100 + 1e-9}")
+        more = work.keep(x.join(y, near).select(F.col("x.h").alias("hub"), F.col("y.h").alias("member")).distinct(), "more")
+        if not more.limit(1).count():
+            return comp
+        again = self._verified(more, sets)
+        return connected_components(links.union(again.where(linked).select("hub", "member")), work)
 
     def run(self) -> DataFrame:
         """One row per document: id, n_shingles, component_id, n_copies (rows with an equal set, itself included)."""
@@ -240,18 +292,7 @@ class JaccardJoin:
         # Each class leaves out its longest lists as far as its allowance reaches.
         spent = F.sum(1 + (F.col("key") % 2 != 0).cast("int")).over(Window.partitionBy("h", "tag").orderBy(F.desc("c"), "key").rowsBetween(Window.unboundedPreceding, 0))
         held = work.keep(met.withColumn("spent", spent).where(F.col("spent") > F.col("tag") % _SLOT).select("key", "h", "c"), "held")
-        weight = work.keep(held.groupBy("h").agg(F.sum("c").alias("w")), "weight")
-        held = work.keep(held.join(weight, "h").select("key", "h", "w"), "weighed")
-        hubs = work.keep(held.groupBy("key").agg(F.max(F.struct("w", F.negative("h").alias("o"), "h")).getField("h").alias("hub"), F.count("*").alias("c")).where("c > 1"), "hub")
-        pairs = work.keep(held.join(hubs.select("key", "hub"), "key").where("h <> hub").select("hub", F.col("h").alias("member")).distinct(), "pairs")
-        tested = self._verified(pairs, classes)
-        linked = F.expr(f"100 * common >= {percent} * total")
-        links = tested.where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        comp = connected_components(links, work)
-        more = work.keep(self._open_pairs(held, hubs.where("c > 2"), tested, comp), "open")
-        if more.limit(1).count():
-            again = self._verified(more, classes)
-            comp = connected_components(links.union(again.where(linked).select("hub", "member")), work)
+        comp = self._close(held.select("key", "h"), classes)
         named = classes.join(comp, classes.h == comp.node, "left").select("h", "id", "copies", F.coalesce("component", "h").alias("component"))
         named = work.keep(named, "named")
         least = work.keep(named.groupBy("component").agg(F.min("id").alias("component_id")), "least")
@@ -260,22 +301,6 @@ class JaccardJoin:
         own = F.col("n") == 0
         return out.select("id", F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"))
 
-    def _open_pairs(self, held: DataFrame, hubs: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs under a key that the hub's tests neither connected nor excluded.
-
-        With distances x and y to the same hub, two sets are at least |x - y|
-        apart; a gap above 1 - threshold excludes the pair.
-        """
-        away = tested.select(F.col("hub").alias("t_hub"), F.col("member").alias("t_member"), (1 - F.col("common") / F.col("total")).alias("away"))
-        at = held.join(hubs, "key").where("h <> hub").join(away, F.expr("t_hub = hub AND t_member = h")).select("key", "h", "away")
-        at = at.join(comp, at.h == comp.node, "left").select("key", "h", "away", F.coalesce("component", "h").alias("component"))
-        at = self.work.keep(at, "at")
-        mixed = self.work.keep(at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        at = self.work.keep(at.join(mixed, "key"), "at_mixed")
-        x, y = at.alias("x"), at.alias("y")
-        gap = F.abs(F.col("x.away") - F.col("y.away")) <= 1 - self.percent / 100 + 1e-9
-        return x.join(y, F.expr("x.key = y.key AND x.h < y.h AND x.component <> y.component") & gap).select(F.col("x.h").alias("hub"), F.col("y.h").alias("member")).distinct()
-
 
 def jaccard_components(docs: DataFrame, work: Workspace, **options) -> DataFrame:
     return JaccardJoin(docs, work, **options).run()
