@@ -1,0 +1,204 @@
+"""Small tests of the training-data operators against brute force and planted cases."""
+
+import itertools
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import html_extract, packing, pii, toxicity
+from siltstone.llm.common import Workspace, WordHasher, shingle_set
+from siltstone.llm.components import connected_components
+from siltstone.llm.decontaminate import PositionalIndex, decontaminate, phrases
+from siltstone.llm.embedding_dedup import near_duplicates
+from siltstone.llm.jaccard_join import Bands, jaccard_components
+from siltstone.llm.license_scan import KNOWN, known_licenses, scan
+from siltstone.llm.sharding import domain, shard
+from siltstone.llm.token_counts import PrefixTrie
+
+DOCS = "doc_id long, text string, lang string, n_chars long, hub long, key string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", len(t or ""), i, "x") for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture
+def work(spark):
+    return Workspace(spark, "test")
+
+
+def test_words_and_shingles():
+    h = WordHasher()
+    a = h.words(b"The cat\tsat \x0b on  THE mat ")
+    assert len(a) == 6 and a[0] == a[4] and len(set(a.tolist())) == 5
+    assert len(h.words(b"")) == len(h.words(b" \n ")) == 0
+    big = b"w" * 700_000 + b" x " + b"y z " * 100_000
+    assert len(h.words(big)) == 2 + 200_000
+    assert len(shingle_set(h, "a b", 3)) == 1 and len(shingle_set(h, "a b c d", 3)) == 2
+
+
+def test_bands_cover_every_pair():
+    b = Bands(90, 1000)
+    for s in range(1, 400):
+        for t in range(s, int(s / 0.9) + 1):
+            if set(b.of(s)) & {b.band(t)}:
+                assert b.differences(b.band(t)) >= (s + t) * 10 // 190
+            else:
+                assert 100 * s < 90 * t
+
+
+def test_jaccard_join_brute_force(spark, work):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.randrange(3, 80))] for _ in range(25)]
+    texts = [None, "", "  ", "one", "one", "ONE"]
+    for w in base:
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.randrange(3)):
+                v[rng.randrange(len(v))] = f"n{rng.randrange(5)}"
+            texts.append(" ".join(v))
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, texts), work, n=3, percent=80).collect()}
+    h = WordHasher()
+    sets = [set(shingle_set(h, t, 3).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_empty_tables(spark, work):
+    none = docs(spark, ["x"]).where("false")
+    assert jaccard_components(none, work).count() == 0
+    assert shard(none, work).count() == 0
+    assert scan(none, known_licenses(spark)).count() == 0
+
+
+def test_components(spark, work):
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (100, 3), (3, 100)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
+    assert got[19] == got[100] == 0 and got[39] == 20 and got[59] == 40 and len(got) == 61
+
+
+def test_near_duplicates(spark, work):
+    rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [1.0, 0.0], 2), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (9, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df, work).collect()}
+    assert got[0] == (3, 0, True) and got[8] == (3, 0, False) and got[2] == (3, 0, False)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 9))
+
+
+def test_decontaminate(spark, work):
+    item = " ".join(f"q{i}" for i in range(15))
+    items = spark.createDataFrame([("a", item), ("b", "tiny one"), ("c", None), ("d", "")], "item_id string, text string")
+    texts = [f"x {item.upper()} y", " ".join(item.split()[:12]), "a TINY, one b", None, "", "tiny two one"]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs(spark, texts), items, work).collect()}
+    assert got == {0: (17, 15, 1, True), 1: (12, 0, 0, False), 2: (4, 2, 1, True), 3: (0, 0, 0, False), 4: (0, 0, 0, False), 5: (3, 0, 0, False)}
+    wanted = phrases(items.where("item_id = 'b'"), 13)
+    assert [r.doc_id for r in PositionalIndex(docs(spark, texts), work).near(wanted, 3).orderBy("doc_id").collect()] == [2, 5]
+
+
+def test_plan_is_gapless_and_tight():
+    rng = random.Random(5)
+    lengths = [rng.randrange(1, 101) for _ in range(500)] + [100] * 20
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    slots: dict[int, list] = {}
+    placed = dict.fromkeys(counts, 0)
+    for n, lo, hi, first, offset in packing.plan(counts, 100):
+        assert lo == placed[n]
+        placed[n] = hi
+        for i in range(hi - lo):
+            slots.setdefault(first + i, []).append((offset, n))
+    assert placed == counts and len(slots) <= sum(lengths) / 100 * 1.03 + 2
+    for s in slots.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 100
+
+
+def test_shards(spark, work):
+    got = shard(docs(spark, [f"t{i}" for i in range(101)] + [None, ""]), work, shards=4).collect()
+    assert sorted(r.row_number for r in got) == list(range(103))
+    for s in range(4):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own))) and 25 <= len(own) <= 26
+    assert {r.size for r in got if r.text_crc32 == zlib.crc32(b"")} == {1}
+    assert all(a * b >= n and a * b - n < max(a, b) for n in range(1, 500) for a, b in [domain(n)])
+
+
+def test_token_counts_brute_force():
+    rng = random.Random(9)
+    pieces = {p: -rng.random() * 5 - 1 for p in {"".join(rng.choices("abc▁", k=rng.randrange(1, 5))) for _ in range(40)}}
+    trie = PrefixTrie(pieces)
+    words = {"▁" + "".join(rng.choices("abcdé", k=rng.randrange(0, 9))) for _ in range(200)}
+
+    def brute(w):
+        best = [(0.0, 0)]
+        for e in range(1, len(w) + 1):
+            options = [(best[s][0] + pieces[w[s:e]], -best[s][1] - 1) for s in range(e) if w[s:e] in pieces]
+            if w[e - 1] not in pieces:
+                k = len(w[e - 1].encode())
+                options.append((best[e - 1][0] + trie.byte * k, -best[e - 1][1] - k))
+            s, n = max(options)
+            best.append((s, -n))
+        return best[-1][1]
+
+    assert trie.counts(words) == {w: brute(w) for w in words}
+
+
+def test_licenses(spark):
+    mit = next(t for i, k, t in KNOWN if i == "MIT" and k == "text").replace("<year> <holder>", "2020 Someone Else").upper()
+    texts = [mit, "x\nreleased under the MIT licence!!\ny", None, "nothing"]
+    got = {r.id: (r.license_id, r.notices) for r in scan(docs(spark, texts), known_licenses(spark)).collect()}
+    assert got == {0: ("MIT", ""), 1: (None, "MIT"), 2: (None, ""), 3: (None, "")}
+
+
+def test_pii():
+    key = b"k" * 32
+    assert len({pii.surrogate("phone", f"+1 (555) 555-{i:04d}", key) for i in range(500)}) == 500
+    assert pii.surrogate("email", "A.b1@X.com", key).lower() == pii.surrogate("email", "a.b1@x.com", key)
+    s = pii.surrogate("card", "4111111111111111", key)
+    assert pii._checksum(s) == pii._checksum("4111111111111111") and s != "4111111111111111"
+    assert pii.surrogate("person", "Mrs Anna Schmidt", key).split()[1] in pii.GIVEN["f"]
+    assert pii.entities("Version 2.0. and 3 words") == []
+    kinds = [k for _, _, k in pii.entities('a.b@c.org 10.1.2.3 +1 (017) 555-7713 9807915762804490 token = "04dbebab91ab"')]
+    assert kinds == ["email", "ip", "phone", "card", "secret"]
+
+
+def test_extract():
+    page = '<html><head><title>t</title></head><body><nav><li>m</nav><article><h1>A &amp; B</h1><p>x <b>y<br><p>z<script>"</p>"</script><div class="ad">no</div></article><footer>f'
+    assert html_extract.extract(page, None) == "A & B\nx y\nz"
+    assert html_extract.extract(None, None) == html_extract.extract("", "/html") == ""
+
+
+def test_toxicity():
+    rng = random.Random(2)
+    words = [a + b for a in ("ta", "re", "mi", "so") for b in ("lo", "ne", "ka", "vu")]
+    texts, y = [], []
+    for i in range(300):
+        w = [rng.choice(words) for _ in range(30)]
+        if i % 3 == 0:
+            w[rng.randrange(30)] = "vilegrub" + rng.choice(["", "en", "ish"])
+        texts.append(" ".join(w))
+        y.append(int(i % 3 == 0))
+    m = toxicity.train(texts, y, [i % 4 == 0 for i in range(300)], epochs=2)
+    score = lambda t: m.logit(m.table(t.split())) - m.cuts[toxicity.tongue(t.split())]
+    assert score("talo rene vilegrubost mika") > 0 > score("talo rene mika")
+    assert m.logit(m.table(["x"])[:0]) == m.bias
+
+
+def test_replaces_in_table(spark, work):
+    got = pii.replace_entities(docs(spark, ["to a@b.com", None, "", "to A@B.com"]), work, ["doc_id"]).orderBy("doc_id").collect()
+    assert got[1].text is None and got[2].text == "" and got[0].text != "to a@b.com"
+    assert got[0].text.lower() == got[3].text.lower() and F is not None
