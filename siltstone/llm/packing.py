@@ -9,10 +9,12 @@ sequences come to the driver: only the histogram does, one row per length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,50 +23,77 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import Workspace
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: Rank counters are kept for so many parts of a length, so that a hot length is counted by many tasks.
 PARTS = 64
 #: A plan of at most so many rows (40 bytes each) is broadcast; a longer one is joined by a shuffle.
 PLAN_BROADCAST_ROWS = 200_000
 _GAP = re.compile("[ \\n\\t\\r]+")
+#: White space of ``str.split`` that stays inside a word here: the tokenizer's own rules apply to it.
+_ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: The vocabulary's pattern of pre-tokens, and what it finds in lower-cased ASCII without white space.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokenizer:
-    """ids of a vocabulary that never joins text across white space, encoded once per distinct word."""
+    """ids of a vocabulary that never joins text across white space, encoded once per distinct word.
+
+    The cache has two generations of ``CACHE_WORDS`` words, so that frequent words
+    outlive it being full.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = json.dumps(PRE_TOKENS).encode() in self.model.pre_tokenizer.__getstate__() and self.model.encode("A", add_special_tokens=False).ids == self._ascii("a")
+
+    def _ascii(self, word: str) -> list[int]:
+        return [t.id for part in _ASCII_PRE_TOKEN.findall(word.lower()) for t in self.model.model.tokenize(part)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 128):
-            part = new[at : at + 128]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, rest = self.known, self.older, []
+        for w in words - known.keys():
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif self.plain and w.isascii() and w.isprintable() and not any(x in w for x in self.special):
+                known[w] = array("I", self._ascii(w)).tobytes()
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 128):
+            part = rest[at : at + 128]
             ids: list[list[int]] = [[] for _ in part]
             e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
             for i, w in zip(e.ids, e.word_ids, strict=True):
                 ids[w].append(i)
-            self.known.update((w, array("I", i).tobytes()) for w, i in zip(part, ids, strict=True))
+            known.update((w, array("I", i).tobytes()) for w, i in zip(part, ids, strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [_GAP.split(t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws} | {""})
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        split = [(_GAP.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in split]
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str, run: str) -> WordTokenizer:
+    """A Python worker's tokenizer: its tasks in one run share what it has learned."""
+    return WordTokenizer(path)
 
 
-def _pieces(path: str, most: int, end: int, carried: pa.Schema):
+def _pieces(path: str, run_id: str, most: int, end: int, carried: pa.Schema):
     kind = pa.schema([*carried, ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenizer, last = WordTokenizer(path), np.array([end], "<u4").tobytes()
+        tokenizer, last = _tokenizer(path, run_id), np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -130,7 +159,7 @@ def pack(docs: DataFrame, work: Workspace, tokenizer: str, most: int = 4096, end
     chosen = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("t"))
     carried = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.string())) for f in chosen.schema[:-1]])
     ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
-    pieces = work.keep(chosen.mapInArrow(_pieces(tokenizer, most, end, carried), ddl + "piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = work.keep(chosen.mapInArrow(_pieces(tokenizer, work.root, most, end, carried), ddl + "piece int, start long, length long, ids_crc32 long"), "pieces")
     ids = [f"k{i}" for i in range(len(keep))]
     part = F.pmod(F.xxhash64(*ids, "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
     pieces = pieces.withColumn("part", part)
