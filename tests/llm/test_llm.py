@@ -127,6 +127,19 @@ def test_plan_is_gapless_and_tight():
         assert at <= 100
 
 
+def test_word_tokenizer_equals_whole_texts(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 8)  # words go to the older generation, and out, between batches
+    own = packing.WordTokenizer(public.path("word_bpe_49k.json"))
+    assert own.plain
+    texts = ["It's I'LL 'SX can't''s, 12,345 x=y!!", "<|startoftext|> A<|endoftext|>b <|STARTOFTEXT|>", "a\x0bb\x1cc\x1fd\x85e\xa0f g\u200bh", "Σίσυφος ΟΔΟΣ İstanbul ﬁ ½ ²3 १२", "\x00a\x01 \x7f", "a \u0301b e\u0301", "", None, " \n a\t", "It's a long word: " + "ab" * 2000]
+    for _ in range(3):
+        for at in range(0, len(texts), 2):
+            part = texts[at : at + 2]
+            found = own.encode_batch(part)
+            assert found == [packing.array("I", own.model.encode(t or "", add_special_tokens=False).ids).tobytes() for t in part]
+
+
 def test_shards(spark, work):
     got = shard(docs(spark, [f"t{i}" for i in range(101)] + [None, ""]), work, shards=4).collect()
     assert sorted(r.row_number for r in got) == list(range(103))
