@@ -4,10 +4,11 @@ A token is an element's path of tags (with its first class or id). Tokens of one
 host with equal occurrence vectors (the same counts on the same pages) form an
 equivalence class. The vectors are never built: a class is told by a sum of
 hashes over pages, which tasks add up apart. A class is valid if it has enough
-support and its tokens nest; the tokens that occur once a page make the
-template's frame. The frame's elements bound the slots; a host's main slot is the
-frame element that holds the article. Pages that lack it, and hosts with few
-pages, are read by the same rules on the page alone. Within the main slot all
+support; the tokens that occur once on most of their pages make the template's
+frame. The frame's elements bound the slots; a host's main slots are the frame
+elements that hold the article, one for each layout: article, main and content
+elements need support only, other elements a valid class. Pages that lack all of
+them, and hosts with few pages, are read by the same rules on the page alone. Within the main slot all
 blocks are taken in page order, but for menus, adverts, forms and the like.
 """
 
@@ -24,6 +25,8 @@ from siltstone.llm.common import Workspace
 
 #: Pages that a class must occur on, and their least share of the host's pages.
 SUPPORT, SHARE = 3, 0.3
+#: Least share of the host's pages for a layout's named slot, and of a token's pages on which it occurs once.
+LAYOUT, ONCE = 0.02, 0.8
 #: Templates (one row a host) of at most so many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -112,10 +115,10 @@ def events(page: str):
     yield from leave(1)
 
 
-def tokens(page: str) -> dict[str, list]:
-    """path -> [occurrences, characters of article text inside, is noise]."""
+def tokens(seen) -> dict[str, list]:
+    """Events of a page -> {path: [occurrences, characters of article text inside, is noise]}."""
     found: dict[str, list] = {}
-    for kind, path, noise, value in events(page):
+    for kind, path, noise, value in seen:
         if kind == "open":
             found.setdefault(path, [0, 0, noise])[0] += 1
         elif kind == "text" and not noise and (n := len(value.strip())):
@@ -126,6 +129,12 @@ def tokens(page: str) -> dict[str, list]:
     return found
 
 
+def rank_of(path: str) -> int:
+    """0: an article element, 1: a main element, 2: one whose name says content, 3: any other."""
+    tag, _, mark = path.rpartition("/")[2].partition(".")
+    return 0 if tag == "article" else 1 if tag == "main" else 2 if mark and MAIN.search(mark) else 3
+
+
 def main_of(frame: dict[str, int]) -> str:
     """The frame element (path -> article characters inside) that holds the article; "" for the whole page.
 
@@ -133,38 +142,62 @@ def main_of(frame: dict[str, int]) -> str:
     deepest one with more than half of the text.
     """
     most = max(frame.values(), default=0)
-    for rule in (lambda p: p.rpartition("/")[2].split(".")[0] == "article", lambda p: p.rpartition("/")[2].split(".")[0] == "main", lambda p: "." in p.rpartition("/")[2] and MAIN.search(p.rpartition("/")[2].partition(".")[2])):
-        fit = [p for p in frame if rule(p) and frame[p] > 0]
-        if fit:
-            return max(fit, key=lambda p: (frame[p], -p.count("/"), p))
+    fit = [p for p in frame if frame[p] > 0 and rank_of(p) < 3]
+    if fit:
+        return max(fit, key=lambda p: (-rank_of(p), frame[p], -p.count("/"), p))
     deep = [p for p in frame if 2 * frame[p] > most and p.rpartition("/")[2].split(".")[0] in BLOCK]
     return max(deep, key=lambda p: (p.count("/"), frame[p], p), default="")
 
 
+def own_slot(found: dict[str, list]) -> str:
+    """The main slot of a page by its own tokens: a single element, or article or main elements that repeat and hold most of the text."""
+    single = {p: x[1] for p, x in found.items() if not x[2] and x[0] == 1}
+    own = main_of(single)
+    if rank_of(own) > 1:
+        most = max((x[1] for x in found.values()), default=0)
+        many = [p for p, x in found.items() if not x[2] and x[0] > 1 and rank_of(p) < 2 and 2 * x[1] > most]
+        own = min(many, key=lambda p: (rank_of(p), -found[p][1], p), default=own)
+    return own
+
+
+def slot_on(found: dict[str, list], slots: list[str]) -> str:
+    """The slot of a page with these tokens: its host's first named slot that holds text here, else its own.
+
+    A host's slot that is only a generic ancestor is taken if the page has no
+    article, main or content element of its own.
+    """
+    here = [p for p in slots if p in found and not found[p][2]]
+    for p in here:
+        if rank_of(p) < 3 and found[p][1]:
+            return p
+    own = own_slot(found)
+    return own if rank_of(own) < 3 else next((p for p in here if rank_of(p) == 3), own)
+
+
 def _solid(block: list[str]) -> str:
     return " ".join("".join(block).split())
 
 
-def extract(page: str | None, slot: str | None) -> str:
-    """The text of a page, read from ``slot`` or, without one on this page, from the page's own main element."""
+def blocks_of(page: str | None, slots: list[str]) -> tuple[str, list[str]]:
+    """A page's main slot and the blocks of text in it, in page order."""
     if not page:
-        return ""
+        return "", []
     seen = list(events(page))
-    if slot is None or not any(k == "open" and p == slot for k, p, _, _ in seen):
-        slot = main_of({p: x[1] for p, x in tokens(page).items() if not x[2] and x[0] == 1})
+    slot = slot_on(tokens(seen), slots)
     blocks, block = [], []
     for kind, path, noise, value in seen:
-        if noise or not (path == slot or path.startswith(f"{slot}/")):
-            if kind == "break":
-                blocks.append(_solid(block))
-                block = []
-        elif kind == "break":
+        if kind == "break":
             blocks.append(_solid(block))
             block = []
-        elif kind == "text":
+        elif kind == "text" and not noise and (path == slot or path.startswith(f"{slot}/")):
             block.append(html.unescape(value))
     blocks.append(_solid(block))
-    return "\n".join(b for b in blocks if b)
+    return slot, [b for b in blocks if b]
+
+
+def extract(page: str | None, slot: str | None) -> str:
+    """The text of a page, read from ``slot`` or, without one on this page, from the page's own main element."""
+    return "\n".join(blocks_of(page, [] if slot is None else [slot])[1])
 
 
 def _token_rows(batches):
@@ -172,15 +205,22 @@ def _token_rows(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            rows = [(h, i, p, *x) for h, i, page in zip(*(c.to_pylist() for c in part.columns), strict=True) for p, x in tokens(page or "").items()]
+            rows = [(h, i, p, *x) for h, i, page in zip(*(c.to_pylist() for c in part.columns), strict=True) for p, x in tokens(events(page or "")).items()]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, kind, strict=True)], schema=kind)
 
 
+def slots_of(frame: dict[str, tuple[int, bool]]) -> list[str]:
+    """Frame (path -> article characters a page, is on enough pages for a generic slot) -> named slots, best first, then the generic one."""
+    named = sorted((p for p, (n, _) in frame.items() if n > 0 and rank_of(p) < 3), key=lambda p: (rank_of(p), -frame[p][0], p.count("/"), p))
+    generic = main_of({p: n for p, (n, common) in frame.items() if common and rank_of(p) == 3})
+    return [*named, generic] if generic else named
+
+
 def _slots(batches):
-    """Rows (host, frame: list of {path, chars}) -> (host, slot)."""
+    """Rows (host, frame: list of {path, chars, common}) -> (host, slots)."""
     for batch in batches:
-        frames = [{x["path"]: x["chars"] for x in f} for f in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([main_of(f) for f in frames], pa.string())], names=["host", "slot"])
+        frames = [{x["path"]: (x["chars"], x["common"]) for x in f} for f in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([slots_of(f) for f in frames], pa.list_(pa.string()))], names=["host", "slots"])
 
 
 def _texts(batches):
@@ -188,23 +228,29 @@ def _texts(batches):
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             n = part.num_columns
-            found = [extract(page, slot) for slot, page in zip(part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)]
+            found = ["\n".join(blocks_of(page, slots or [])[1]) for slots, page in zip(part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)]
             yield pa.record_batch([*part.columns[: n - 2], pa.array(found, pa.string())], names=[*part.schema.names[: n - 2], "text"])
 
 
 def templates(pages: DataFrame, work: Workspace) -> DataFrame:
-    """(host, page, html) -> (host, slot): the main slot of each host whose pages have a common frame."""
+    """(host, page, html) -> (host, slots): the main slots of each host whose pages have a common frame.
+
+    Shares of pages decide, so a few odd pages change nothing for the others; a
+    host has a named slot for each of its layouts.
+    """
     rows = pages.mapInArrow(_token_rows, "host string, page long, path string, n long, chars long, noise boolean")
     vector = F.bit_xor(F.xxhash64("page", "n"))
     # one row per token of a host; partial sums are made where the pages are read
-    token = rows.groupBy("host", "path").agg(vector.alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.max("noise").alias("noise"))
+    token = rows.groupBy("host", "path").agg(vector.alias("vector"), F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("once"), F.sum("chars").alias("chars"), F.count_if("noise").alias("noise"))
     token = work.keep(token, "tokens")
     held = token.groupBy("host").agg(F.max("pages").alias("of"))
-    classes = token.groupBy("host", "vector").agg(F.count("*").alias("size")).where("size > 1")
-    valid = token.join(classes, ["host", "vector"]).join(held, "host").where((F.col("pages") >= SUPPORT) & (F.col("pages") >= SHARE * F.col("of")) & (F.col("most") == 1) & ~F.col("noise"))
-    # a frame has as many rows as a page's single elements, whatever the number of pages
-    frame = valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "chars"))).alias("frame"))
-    return work.keep(frame.mapInArrow(_slots, "host string, slot string"), "slots")
+    classes = token.groupBy("host", "vector").agg(F.count("*").alias("size"))
+    common = (F.col("size") > 1) & (F.col("pages") >= SHARE * F.col("of"))
+    fit = (F.col("pages") >= SUPPORT) & (F.col("pages") >= LAYOUT * F.col("of")) & (F.col("once") >= ONCE * F.col("pages")) & (2 * F.col("noise") < F.col("pages"))
+    valid = token.join(classes, ["host", "vector"]).join(held, "host").where(fit).select("host", "path", F.floor(F.col("chars") / F.col("pages")).alias("chars"), common.alias("common"))
+    # a frame has at most a page's single elements, divided by the least share
+    frame = valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "chars", "common"))).alias("frame"))
+    return work.keep(frame.mapInArrow(_slots, "host string, slots array<string>"), "slots")
 
 
 def extract_pages(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -219,6 +265,6 @@ def extract_pages(pages: DataFrame, work: Workspace, id_col: str = "page_id", ur
     found = templates(own.select("host", F.xxhash64("id", "url").alias("page"), "html"), work)
     if found.count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
-    rows = own.join(found, "host", "left").select("id", "url", "slot", "html")
+    rows = own.join(found, "host", "left").select("id", "url", "slots", "html")
     out = rows.mapInArrow(_texts, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
     return out.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))

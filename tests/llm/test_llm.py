@@ -195,6 +195,19 @@ def test_extract():
     assert html_extract.extract(None, None) == html_extract.extract("", "/html") == ""
 
 
+def _pages(spark, work, rows):
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    return {r.id: r.text for r in html_extract.extract_pages(df, work).collect()}
+
+
+def test_odd_pages_and_mixed_layouts(spark, work):
+    page = lambda i, tag, more="": f"<html><body><div class=x>teaser {i}</div><{tag}><p>text {i}</p></{tag.split()[0]}>{more}</body></html>"
+    rows = [("a", page(i, "article")) for i in range(8)] + [("a", page(8, "article", "<article><p>more</p></article>"))]
+    tags = ["article class=one", "article class=two", "main", "div class=content", "section class=story"]
+    rows += [("b", page(i, tags[i % 5])) for i in range(9, 29)]
+    assert _pages(spark, work, rows) == {i: f"text {i}" + ("\nmore" if i == 8 else "") for i in range(29)}
+
+
 def test_toxicity():
     rng = random.Random(2)
     words = [a + b for a in ("ta", "re", "mi", "so") for b in ("lo", "ne", "ka", "vu")]
