@@ -9,7 +9,9 @@ frame. The frame's elements bound the slots; a host's main slots are the frame
 elements that hold the article, one for each layout: article, main and content
 elements need support only, other elements a valid class. Pages that lack all of
 them, and hosts with few pages, are read by the same rules on the page alone. Within the main slot all
-blocks are taken in page order, but for menus, adverts, forms and the like.
+blocks are taken in page order, but for menus, adverts, forms and the like, told
+by fixed words, and for blocks whose text is the same on most pages of the layout,
+whatever their elements are called and however often they occur on a page.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from siltstone.llm.common import Workspace
 SUPPORT, SHARE = 3, 0.3
 #: Least share of the host's pages for a layout's named slot, and of a token's pages on which it occurs once.
 LAYOUT, ONCE = 0.02, 0.8
+#: Least share of a layout's different pages that a block of template text stands on.
+REPEATED = 0.7
 #: Templates (one row a host) of at most so many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -223,13 +227,14 @@ def _slots(batches):
         yield pa.record_batch([batch.column(0), pa.array([slots_of(f) for f in frames], pa.list_(pa.string()))], names=["host", "slots"])
 
 
-def _texts(batches):
+def _blocks(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             n = part.num_columns
-            found = ["\n".join(blocks_of(page, slots or [])[1]) for slots, page in zip(part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)]
-            yield pa.record_batch([*part.columns[: n - 2], pa.array(found, pa.string())], names=[*part.schema.names[: n - 2], "text"])
+            found = [blocks_of(page, slots or []) for slots, page in zip(part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist(), strict=True)]
+            slot, blocks = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.string()))
+            yield pa.record_batch([*part.columns[: n - 2], slot, blocks], names=[*part.schema.names[: n - 2], "slot", "blocks"])
 
 
 def templates(pages: DataFrame, work: Workspace) -> DataFrame:
@@ -253,6 +258,24 @@ def templates(pages: DataFrame, work: Workspace) -> DataFrame:
     return work.keep(frame.mapInArrow(_slots, "host string, slots array<string>"), "slots")
 
 
+def repeated_text(read: DataFrame, work: Workspace) -> DataFrame:
+    """(host, slot, blocks) -> (host, slot, repeated): digests of the blocks that are the template's own text.
+
+    Pages with equal blocks count once, so a text that is only served under many
+    URLs isn't repeated. Where the repeated blocks would be more than half of a
+    mean page, the pages are near copies of each other and not of a template.
+    """
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
+    pages = read.where(F.size("blocks") > 0).select("host", "slot", F.xxhash64("blocks").alias("page"), chars.alias("chars"), F.array_distinct("blocks").alias("blocks"))
+    layout = pages.groupBy("host", "slot").agg(F.count_distinct("page").alias("of"), F.avg("chars").alias("mean"))
+    block = pages.select("host", "slot", "page", F.explode("blocks").alias("b")).select("host", "slot", "page", F.xxhash64("b").alias("block"), F.length("b").alias("n"))
+    often = block.groupBy("host", "slot", "block", "n").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= SUPPORT)
+    fixed = often.join(layout, ["host", "slot"]).where(F.col("pages") >= REPEATED * F.col("of"))
+    # a layout has at most a page's blocks, divided by the share
+    found = fixed.groupBy("host", "slot").agg(F.collect_list("block").alias("repeated"), F.sum("n").alias("n"), F.max("mean").alias("mean"))
+    return work.keep(found.where(2 * F.col("n") <= F.col("mean")).select("host", "slot", "repeated"), "repeated")
+
+
 def extract_pages(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points).
 
@@ -265,6 +288,13 @@ def extract_pages(pages: DataFrame, work: Workspace, id_col: str = "page_id", ur
     found = templates(own.select("host", F.xxhash64("id", "url").alias("page"), "html"), work)
     if found.count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
-    rows = own.join(found, "host", "left").select("id", "url", "slots", "html")
-    out = rows.mapInArrow(_texts, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
+    rows = own.join(found, "host", "left").select("id", "url", "host", "slots", "html")
+    read = rows.mapInArrow(_blocks, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, slot string, blocks array<string>")
+    read = work.keep(read, "blocks")
+    fixed = repeated_text(read, work)
+    if fixed.count() <= BROADCAST_HOSTS:
+        fixed = F.broadcast(fixed)
+    rest = F.filter("blocks", lambda b: ~F.array_contains("repeated", F.xxhash64(b)))
+    rest = F.when(F.col("repeated").isNull() | (F.size(rest) == 0), F.col("blocks")).otherwise(rest)
+    out = read.join(fixed, ["host", "slot"], "left").select("id", "url", F.array_join(rest, "\n").alias("text"))
     return out.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -208,6 +208,23 @@ def test_odd_pages_and_mixed_layouts(spark, work):
     assert _pages(spark, work, rows) == {i: f"text {i}" + ("\nmore" if i == 8 else "") for i in range(29)}
 
 
+def test_repeated_text_inside_the_slot(spark, work):
+    page = lambda text: f"<html><body><article><div class='c-7'>Read on our site.</div>{text}<p>Share it.</p></article></body></html>"
+    long = lambda i: f"<p>text {i} of a page that has more to say than the site</p><p>again {i % 2}</p>"
+    rows = [("a", page(long(i))) for i in range(10)] + [("a", page(""))]  # nothing else on the last: it keeps its text
+    rows += [("copies", page(long(0)))] * 5  # one article under five addresses
+    near = "".join(f"<p>the same long paragraph {k}</p>" for k in range(9))
+    rows += [("near", page(f"{near}<p>{i}</p>")) for i in range(5)]
+    rows += [("few", page(long(i))) for i in range(2)]
+    got = _pages(spark, work, rows)
+    body = lambda i: f"text {i} of a page that has more to say than the site\nagain {i % 2}"
+    whole = "Read on our site.\n{}\nShare it."
+    assert [got[i] for i in range(10)] == [body(i) for i in range(10)] and got[10] == "Read on our site.\nShare it."
+    assert all(got[i] == whole.format(body(0)) for i in range(11, 16))
+    assert all(got[i] == whole.format("\n".join(f"the same long paragraph {k}" for k in range(9)) + f"\n{i - 16}") for i in range(16, 21))
+    assert [got[21], got[22]] == [whole.format(body(0)), whole.format(body(1))]
+
+
 def test_toxicity():
     rng = random.Random(2)
     words = [a + b for a in ("ta", "re", "mi", "so") for b in ("lo", "ne", "ka", "vu")]
