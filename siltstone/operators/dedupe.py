@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import hamming, simhash_udf
@@ -87,7 +88,7 @@ def levenshtein_samples(spark, d):
 s AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE roots > 1) AS crossed, count(DISTINCT ip) AS ips, round(avg(n_chars), 4) AS mean, round(exp(avg(ln(greatest(n_chars, 1)))), 4) AS geo FROM t JOIN g USING (m) GROUP BY source)
 SELECT source, total, crossed, ips, mean, geo, round(ln(greatest(crossed, 2)) / ln(greatest(total, 2)), 6) AS ratio, round(ln(greatest(crossed, 2)) / ln(greatest(total, 2)) * (1 - ln(ips) / ln(greatest(total, 2))), 6) AS spam FROM s WHERE crossed >= 2""")
 def cross_domain_dupes(spark, d):
-    """Duplicates that a source shares with others, with its spam score."""
+    """Exact duplicates that a source shares with others, with its spam score."""
     t = read(spark, d, "documents").select(F.md5("text").alias("m"), "source", (F.col("doc_id") % 97).alias("ip"), "n_chars")
     g = t.groupBy("m").agg(F.countDistinct("source").alias("roots"), F.count("*").alias("n")).where("n > 1").drop("n")
     s = t.join(g, "m").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.expr("roots > 1")).alias("crossed"), F.countDistinct("ip").alias("ips"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.exp(F.avg(F.log(F.greatest("n_chars", F.lit(1))))), 4).alias("geo")).where("crossed >= 2")
@@ -95,6 +96,48 @@ def cross_domain_dupes(spark, d):
     return s.select("source", "total", "crossed", "ips", "mean", "geo", F.round(ratio, 6).alias("ratio"), F.round(ratio * (1 - F.log("ips") / F.log(F.greatest("total", F.lit(2)))), 6).alias("spam"))
 
 
+def cross_domain_scores(docs):
+    """docs (component, root, ip, length, path, id) -> per root: the scores of its near duplicates, with the gates of the surveyed system.
+
+    A root's hits are all documents of the components that hold one of its own
+    and another document. Sums over other roots are those of a component less the
+    root's own, so no pair of documents is made; distinct addresses and sample
+    paths are joined as distinct values. Lengths are at least 1.
+    """
+    docs = docs.where("component is not null").withColumn("length", F.greatest("length", F.lit(1)).cast("double"))
+    sums = [F.count("*").alias("n"), F.sum("length").alias("sum"), F.sum(F.log("length")).alias("logs")]
+    own = cut(docs.groupBy("component", "root").agg(*sums, F.min(F.struct("id", "path")).alias("sample")))
+    whole = own.groupBy("component").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "sum", "logs"))).where("all_n > 1")
+    sets = cut(own.join(whole, "component"))
+    total = sets.groupBy("root").agg(F.sum("all_n").alias("total"), *(F.sum(F.col(f"all_{c}") - F.col(c)).alias(f"other_{c}") for c in ("n", "sum", "logs")))
+    gated = cut(total.where("total > 15 and other_n >= 2"))
+    mine = cut(sets.join(gated.select("root"), "root", "left_semi").select("component", "root"))
+    ips = mine.join(docs.select("component", "ip").distinct(), "component").groupBy("root").agg(F.count_distinct("ip").alias("ips"))
+    others = mine.join(sets.select("component", F.col("root").alias("other"), "sample"), "component").where("root <> other")
+    samples = cut(others.groupBy("root", "other").agg(F.min("sample").alias("sample")))
+    roots = samples.groupBy("root").agg(F.count("*").alias("roots"))
+    five = samples.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("sample.id", "other"))).where("place <= 5")
+    five = cut(five.select("root", "place", F.col("sample.path").alias("path")).where("length(path) < 100"))
+    a, b = five.alias("a"), five.alias("b")
+    lev = a.join(b, F.expr("a.root = b.root and a.place <> b.place")).select("a.root", F.levenshtein("a.path", "b.path").alias("l"))
+    # one distance of 0 makes the geometric mean 0
+    geo = F.when(F.min("l") == 0, 0.0).otherwise(F.exp(F.avg(F.log(F.col("l").cast("double")))))
+    lev = lev.groupBy("root").agg(F.avg("l").alias("lev_mean"), geo.alias("lev_geo")).where("lev_mean <> 0")
+    ratio = F.log("other_n") / F.log("total")
+    spam = ratio * (1 - F.log("ips") / F.log("total"))
+    out = gated.join(ips, "root").join(roots, "root").join(lev, "root", "left").withColumn("ratio", ratio).withColumn("spam", spam).where("ratio >= 0.5 or spam > 0.5")
+    return out.select("root", "total", F.col("other_n").alias("crossed"), "roots", "ips", F.round(F.col("other_sum") / F.col("other_n"), 4).alias("mean"), F.round(F.exp(F.col("other_logs") / F.col("other_n")), 4).alias("geo"), F.round("ratio", 6).alias("ratio"), F.round("spam", 6).alias("spam"), F.round("lev_mean", 4).alias("lev_mean"), F.round("lev_geo", 4).alias("lev_geo"))
+
+
+@query()
+def cross_domain_near_dupes(spark, d):
+    """Near duplicates that a source shares with others, with its spam score."""
+    sets = simhash_sets(spark, d).select("doc_id", "component")
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars").join(sets, "doc_id")
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    return cross_domain_scores(docs.select("component", F.col("source").alias("root"), (F.col("doc_id") % 97).alias("ip"), F.col("n_chars").alias("length"), path.alias("path"), F.col("doc_id").alias("id"))).withColumnRenamed("root", "source")
+
+
 @query("""WITH b AS (SELECT server_ip, host, bool_or(http_result = 404) AS bad FROM fetches GROUP BY 1, 2)
 SELECT server_ip, count(*) AS hosts, count(*) FILTER (WHERE bad) AS bad_hosts, CASE WHEN count(*) FILTER (WHERE bad) * 4 >= count(*) * 3 THEN 'ip' ELSE 'host' END AS level FROM b GROUP BY 1 HAVING count(*) FILTER (WHERE bad) > 0""")
 def ip_blacklist_level(spark, d):
