@@ -46,6 +46,13 @@ def hamming_pairs(spark, d):
     return near_pairs(h.withColumn("id", F.col("h")))
 
 
+@query()
+def hamming_pairs_64(spark, d):
+    """Pairs of 64-bit hashes at most two bits apart, over all orders: those of a customer differ in one bit from its hash."""
+    h = F.expr("xxhash64(o_custkey) ^ shiftleft(1L, cast(o_orderkey % 64 as int))")
+    return near_pairs(read(spark, d, "orders").select(h.alias("h")))
+
+
 @query()
 def lsh_candidate_pairs(spark, d):
     """Simhashes of documents that are near each other."""

@@ -105,6 +105,15 @@ def feed_discovery(spark, d):
     return x.join(level, ["root", "depth"]).select("root", "feed")
 
 
+@query()
+def feed_discovery_all(spark, d):
+    """Feeds of the shallowest level of each host, if they are five at most; purchases stand for fetches of feeds."""
+    f = view(spark, d, "fetches").where("kind = 'purchase'").select("host", F.concat("url", F.when(F.col("fetch_id") % 2 == 0, "/feed").otherwise("/a/feed")).alias("feed")).distinct()
+    x = f.withColumn("depth", F.length("feed") - F.length(F.replace("feed", F.lit("/"), F.lit(""))))
+    level = x.groupBy("host", "depth").agg(F.count("*").alias("n")).groupBy("host").agg(F.min(F.struct("depth", "n")).alias("m")).where("m.n <= 5").select("host", F.col("m.depth").alias("depth"))
+    return x.join(level, ["host", "depth"]).select("host", "feed")
+
+
 @query("""SELECT url, CASE WHEN regexp_matches(url, '/[0-9]{4}/[0-9]{2}/[^/]+/?$') THEN 'post' WHEN regexp_matches(url, '/post/[0-9]+') THEN 'tumblr' WHEN regexp_matches(url, '/p[0-9]+$') THEN 'nested' ELSE 'index' END AS kind FROM (SELECT DISTINCT url FROM fetches)""")
 def post_detection(spark, d):
     """Post URLs by pattern, in order."""

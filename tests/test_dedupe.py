@@ -69,3 +69,25 @@ def test_near_copies_count(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "n_chars").collect()
     want = scores([(sets[r.doc_id], r.source, r.doc_id % 97, r.n_chars, f"/{r.lang}/{r.doc_id}", r.doc_id) for r in docs])
     same({r.source: tuple(r)[1:] for r in cross_domain_near_dupes(spark, SF).collect()}, want)
+
+
+def test_hamming_pairs_of_all_orders(spark):
+    found = [tuple(r) for r in catalog.queries()["hamming_pairs_64"](spark, SF).collect()]
+    h = "xxhash64(o_custkey) ^ shiftleft(1L, cast(o_orderkey % 64 as int))"
+    hashes = sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").selectExpr(h).distinct().collect())
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = sorted((a, b, bits(a, b)) for a, b in itertools.combinations(hashes, 2) if bits(a, b) <= 2)
+    assert len(hashes) > 512 and want and sorted(found) == want
+
+
+def test_feeds_of_all_hosts(spark):
+    found = sorted(tuple(r) for r in catalog.queries()["feed_discovery_all"](spark, SF).collect())
+    hosts = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").select("event_id", "user_id").collect():
+        host = f"{'www.' if r.user_id % 3 == 0 else ''}h{r.user_id}.site{r.user_id % 12}.com"
+        hosts.setdefault(host, set()).add(f"http://{host}/p{r.event_id % 60}{'/feed' if r.event_id % 2 == 0 else '/a/feed'}")
+    want = []
+    for host, feeds in hosts.items():
+        level = [f for f in feeds if f.count("/") == min(x.count("/") for x in feeds)]
+        want += [(host, f) for f in level] if len(level) <= 5 else []
+    assert found == sorted(want) and any(h.startswith("www.") for h, _ in found)
