@@ -9,9 +9,13 @@ which finds licence notices inside a document. DataFrame and SQL expressions onl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.license_texts import more_texts
+
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("https", "http"), ("(c)", "copyright"), ("©", "copyright")]
 
@@ -32,15 +36,22 @@ KNOWN = [
 
 #: A line that names a copyright holder and states nothing else.
 COPYRIGHT_LINE = r"(?m)^[ \t]*copyright[ \t]+[^\n]*[0-9<][^\n]*$"
+#: The same without a year: under a sign, or a paragraph of its own; with the line "all rights reserved" that follows.
+COPYRIGHT_LINES = r"(?m)(?:^[ \t]*copyright[ \t]+(?:[^\n]*[0-9<]|copyright\b)[^\n]*$|(?:\A|(?<=\n\n))[ \t]*copyright[ \t]+[^\n]{1,100}(?=\s*\z|\n[ \t]*\n|\n[ \t]*all rights reserved))(?:\s*\n[ \t]*all rights reserved[. \t]*$)?"
+#: What every known notice holds; other lines aren't looked up.
+NOTICE = r"licens|reserved|under"
 
 
-def _lined(text: Column) -> Column:
-    """The canonical form with its line ends kept."""
+def _spelled(text: Column) -> Column:
     t = F.lower(text)
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    return F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
+    return t
+
+
+def _lined(text: Column, copyright: str = COPYRIGHT_LINE) -> Column:
+    """The canonical form with its line ends kept."""
+    return F.regexp_replace(F.regexp_replace(_spelled(text), copyright, ""), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def _whole(lined: Column) -> Column:
@@ -53,35 +64,40 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, kind, canonical, digest) of the list above."""
-    rows = spark.createDataFrame(KNOWN, "license_id string, kind string, text string")
-    rows = rows.select("license_id", "kind", canonical(F.col("text")).alias("canonical"))
+    """(license_id, kind, canonical, digest, bare) of the list above and of license_texts; ``bare`` is the digest without any copyright lines."""
+    rows = spark.createDataFrame(KNOWN + more_texts(KNOWN), "license_id string, kind string, text string")
+    rows = rows.select("license_id", "kind", canonical(F.col("text")).alias("canonical"), F.sha2(_whole(_lined(F.col("text"), COPYRIGHT_LINES)), 256).alias("bare"))
     return rows.withColumn("digest", F.sha2("canonical", 256))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, digest, license_id, notices.
 
-    ``license_id`` is that of the licence which the entire text is, ``notices``
-    the sorted distinct ids of licences that an entire line is, comma-joined.
-    A null text has a null digest; ties between licences of one digest go to the
-    smallest id. Repeated rows keep a row each; other columns aren't read. The
-    list of licences is small by nature: it is checked to be at most 10,000 rows.
+    ``license_id`` is that of the licence which the entire text is, by its digest
+    or else by that without any copyright lines; ``notices`` the sorted distinct
+    ids of licences that an entire line is, comma-joined. A null text has a null
+    digest; ties between licences of one digest go to the smallest id. Repeated
+    rows keep a row each; other columns aren't read. The list of licences is small
+    by nature: it is checked to be at most 10,000 rows.
     """
     by_digest = licenses.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("canonical").alias("canonical"))
     known = by_digest.limit(10_001).collect()
     if not 0 < len(known) <= 10_000:
         raise ValueError("scan needs between 1 and 10,000 known licences")
-    lined = docs.select(F.col(id_col).alias("id"), _lined(F.col(text_col)).alias("lined"))
-    whole = lined.select("id", "lined", F.sha2(_whole(F.col("lined")), 256).alias("digest"))
-    joined = whole.join(F.broadcast(by_digest.select("digest", "license_id")), "digest", "left")
+    by_bare = licenses.where("kind = 'text'").groupBy("bare").agg(F.min("license_id").alias("bare_id"))
+    text = F.col(text_col)
+    bare = F.when(text.rlike("(?i)copyright|©|\\(c\\)"), F.sha2(_whole(_lined(text, COPYRIGHT_LINES)), 256))
+    lined = docs.select(F.col(id_col).alias("id"), _lined(text).alias("lined"), bare.alias("bare"))
+    whole = lined.select("id", "lined", F.sha2(_whole(F.col("lined")), 256).alias("digest"), F.coalesce("bare", F.sha2(_whole(F.col("lined")), 256)).alias("bare"))
+    joined = whole.join(F.broadcast(by_digest.select("digest", "license_id")), "digest", "left").join(F.broadcast(by_bare), "bare", "left")
     # a line can be a licence only if it is as long as one; the digest is taken of those only
     lengths = F.array(*(F.lit(n) for n in sorted({len(r["canonical"]) for r in known})))
     ids = F.create_map(*(F.lit(x) for r in known for x in (r["digest"], r["license_id"])))
+    marked = all(re.search(NOTICE, r["canonical"]) for r in known)
     lines = F.transform(F.split("lined", "\n"), lambda x: F.trim(x))
-    alike = F.filter(lines, lambda x: F.array_contains(lengths, F.length(x)))
+    alike = F.filter(lines, lambda x: (x.rlike(NOTICE) if marked else F.lit(True)) & F.array_contains(lengths, F.length(x)))
     hits = F.filter(F.transform(alike, lambda x: F.try_element_at(ids, F.sha2(x, 256))), lambda x: x.isNotNull())
-    return joined.select("id", "digest", "license_id", F.coalesce(F.concat_ws(",", F.array_sort(F.array_distinct(hits))), F.lit("")).alias("notices"))
+    return joined.select("id", "digest", F.coalesce("license_id", "bare_id").alias("license_id"), F.coalesce(F.concat_ws(",", F.array_sort(F.array_distinct(hits))), F.lit("")).alias("notices"))
 
 
 def scan_sql() -> str:

@@ -3,11 +3,12 @@
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import html_extract, packing, pii, toxicity
+from siltstone.llm import html_extract, license_texts, packing, pii, toxicity
 from siltstone.llm.common import Workspace, WordHasher, shingle_set
 from siltstone.llm.components import connected_components
 from siltstone.llm.decontaminate import PositionalIndex, decontaminate, phrases
@@ -177,6 +178,21 @@ def test_licenses(spark):
     assert got == {0: ("MIT", ""), 1: (None, "MIT"), 2: (None, ""), 3: (None, "")}
 
 
+def test_more_licenses(spark):
+    mit = next(t for i, k, t in KNOWN if i == "MIT" and k == "text")
+    bsd = license_texts.SHORT["BSD-3-Clause"][0].format("* ", "* ", "* ")
+    files = Path(license_texts.__file__).parent / "licenses"
+    holders = ["Copyright (c) Jane Doe", "Copyright The Foo Authors", "Copyright (c) 2020 Foo\nAll rights reserved.", "Copyright Foo Inc.\nAll rights reserved."]
+    want = [(mit.replace("Copyright (c) <year> <holder>", h), "MIT", "") for h in holders]
+    want += [(bsd.replace("<year> <holder>", "2019, A B"), "BSD-3-Clause", ""), (mit.partition("\n\n")[2], "MIT", "")]
+    want += [(" ".join((files / f"{i}.txt").read_text().split("\n")), i, "") for i in ("CC0-1.0",)]
+    want += [((files / f"{i}.txt").read_text(), i, "") for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")]
+    want += [("a\nThis project is licensed under the Apache License 2.0\nb", None, "Apache-2.0"), ("Copyright law\n\nnothing", None, "")]
+    got = {r.id: (r.license_id, r.notices) for r in scan(docs(spark, [t for t, _, _ in want]), known_licenses(spark)).collect()}
+    assert [got[i][0] for i in range(len(want))] == [x for _, x, _ in want]
+    assert got[len(want) - 2] == (None, "Apache-2.0")
+
+
 def test_pii():
     key = b"k" * 32
     assert len({pii.surrogate("phone", f"+1 (555) 555-{i:04d}", key) for i in range(500)}) == 500
