@@ -26,19 +26,36 @@ GIVEN = {
     "f": "Anna Maria Laura Julia Sarah Emma Sophie Claire Marie Camille Elena Carmen Lucia Isabel Ingrid Petra Sabine Monika Alice Mary Jennifer Linda Susan Karen Emily Olivia Hannah Nora".split(),
     "m": "John James Robert Michael William David Thomas Peter Paul Hans Klaus Stefan Wolfgang Jean Pierre Michel Antoine Carlos Juan Miguel Pedro Luis Daniel Andrew George Edward Henry Oliver".split(),
 }
-_GENDER = {n: g for g, names in GIVEN.items() for n in names}
+#: Given names by gender in Cyrillic and Greek script.
+NAMES = GIVEN | {
+    "f-cyrillic": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Дарья Анастасия Оксана Людмила".split(),
+    "m-cyrillic": "Иван Сергей Александр Дмитрий Андрей Алексей Михаил Николай Владимир Павел Олег Игорь Виктор Пётр".split(),
+    "f-greek": "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Άννα Γεωργία Ιωάννα".split(),
+    "m-greek": "Γεώργιος Δημήτρης Ιωάννης Νίκος Κωνσταντίνος Παναγιώτης Χρήστος Αντώνης".split(),
+}
+_GENDER = {n: g for g, names in NAMES.items() for n in names}
+#: Titles by gender, "" for either.
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Mme": "f", "Sr": "m", "Sra": "f", "г-н": "m", "г-жа": "f", "κ": ""}
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŸŒА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", "a-zß-öø-ÿœа-яёα-ωάέήίόύώ"
+_SURNAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)*"
+_TITLE = r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[ ]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/]{8,}))"
+    r"|(?P<secret>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?![A-Za-z])[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/](?:[A-Za-z0-9_\-+/.=~!@#$%^&*]{6,})[A-Za-z0-9_\-+/=~!@#$%^&*]))"
+    r"|(?P<bare>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\w.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
-    r"|(?P<person>\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?[ ])?(?:" + "|".join(sorted(_GENDER)) + r")[ ][A-ZÀ-ÞŸ][a-zß-ÿœ]+\b)"
+    rf"|(?P<person>(?:{_TITLE})?(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")[ ](?:[{_UPPER}]\.[ ])?{_SURNAME}(?!\w)|{_TITLE}(?:[{_UPPER}]\.[ ])*{_SURNAME}(?!\w))"
 )
-_MAY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|" + "|".join(sorted(_GENDER)))
+#: Prefixes of bare secrets keep their form.
+_PREFIX = re.compile(r"AKIA|AIza|gh[pousr]_|sk-|xox[abprs]-|eyJ")
+_MAY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|sk-|gh[pousr]_|AIza|AKIA|xox|eyJ|" + "|".join([*sorted(_GENDER), rf"(?<!\w)(?:{'|'.join(map(re.escape, TITLES))})\.? "]))
+#: Country calling codes of one and two digits; others have three.
+_CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
 _ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñç", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _PLACE = {c: (a, i) for a, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
@@ -110,16 +127,35 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(map(str, p))
 
 
+def parts(text: str) -> tuple[str, str, str]:
+    """A person's title, given name with initials, and surname; what is missing is empty."""
+    words = text.split(" ")
+    title = words.pop(0) if words[0].rstrip(".") in TITLES else ""
+    return title, " ".join(words[:-1]), words[-1]
+
+
 def _person(text: str, key: bytes) -> str:
-    *title, given, surname = text.split(" ")
-    names = GIVEN[_GENDER[given]]
+    title, given, surname = parts(text)
+    first, _, initials = given.partition(" ") if given.split(" ")[0] in _GENDER else ("", "", given)
+    names = NAMES[_GENDER[first]] if first else [""]
     # both names move together, so that no two persons of a gender meet
     spots = [_PLACE[c] if c in _PLACE else None for c in surname.lower()]
     form = "".join("?" if s is None else f"<{s[0]}>" for s in spots) + "".join(c for c, s in zip(surname, spots, strict=True) if s is None)
-    moved = permute([names.index(given), *(s[1] for s in spots if s)], [len(names), *(len(_ALPHABETS[s[0]]) for s in spots if s)], key, f"person:{_GENDER[given]}:{form}")
+    moved = permute([names.index(first), *(s[1] for s in spots if s)], [len(names), *(len(_ALPHABETS[s[0]]) for s in spots if s)], key, f"person:{_GENDER.get(first, '')}:{form}")
     rest = iter(moved[1:])
     new = "".join(c if s is None else _ALPHABETS[s[0]][next(rest)] for c, s in zip(surname, spots, strict=True))
-    return " ".join([*title, names[moved[0]], new[:1].upper() + new[1:]])
+    new = "".join(n.upper() if c.isupper() else n for c, n in zip(surname, new, strict=True))
+    return " ".join(x for x in (title, names[moved[0]], _like(initials, key, "initials") if initials else "", new) if x)
+
+
+def _plain(text: str) -> str:
+    return re.sub(r"[\W_]", "", text).upper()
+
+
+def _fill(text: str, new: str) -> str:
+    """``text`` with its letters and digits replaced by those of ``new``, in order; spacing stays."""
+    rest = iter(new)
+    return re.sub(r"[^\W_]", lambda m: next(rest), text)
 
 
 def surrogate(kind: str, text: str, key: bytes) -> str:
@@ -127,26 +163,80 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         head, dot, top = text.rpartition(".")
         return _like(head, key, f"email:{top.lower()}") + dot + top
     if kind == "secret":
-        return _like(text, key, "hex", _HEX) if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else _like(text, key, "secret")
+        head = _PREFIX.match(text)
+        n = head.end() if head else 0
+        return _like(text, key, "hex", _HEX) if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else text[:n] + _like(text[n:], key, f"secret:{text[:n]}" if n else "secret")
     if kind == "iban":
-        return text[:2] + _like(text[2:], key, f"iban:{text[:2]}")
+        plain = _plain(text)
+        return _fill(text, plain[:2] + _like(plain[2:], key, f"iban:{plain[:2]}"))
     if kind == "phone":
-        head = re.match(r"\+\d{1,3}(?=[ .-])", text)
-        n = head.end() if head else 0
-        return text[:n] + _like(text[n:], key, f"phone:{text[:n]}")
+        plain = _plain(text)
+        n = _CALLING.match(plain).end() if text.startswith("+") else 0
+        return _fill(text, plain[:n] + _like(plain[n:], key, f"phone:{'+' * (n > 0)}{plain[:n]}"))
     return {"ip": _ip, "card": _card, "person": _person, "ssn": lambda t, k: _like(t, k, "ssn")}[kind](text, key)
 
 
 def identity(kind: str, text: str) -> str:
-    """What tells two mentions of one entity: letter case and titles don't."""
-    return f"{kind}:{' '.join(text.split(' ')[-2:]) if kind == 'person' else text.lower()}"
+    """What tells two mentions of one entity: letter case, titles, initials and the spacing of numbers don't."""
+    if kind == "person":
+        _, given, surname = parts(text)
+        first = given.split(" ")[0]
+        return f"person:{first + ' ' if first in _GENDER else ''}{surname}"
+    if kind in ("phone", "iban", "card"):
+        return f"{kind}:{'+' * text.startswith('+')}{_plain(text)}"
+    return f"{kind}:{text.lower()}"
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each entity, in order."""
     if not _MAY.search(text):
         return []
-    return [(*(m.span("value") if m.lastgroup == "secret" or m["secret"] else m.span()), "secret" if m["secret"] else m.lastgroup) for m in PATTERN.finditer(text)]
+    return [(*(m.span("value") if m["secret"] else m.span()), "secret" if m["secret"] or m["bare"] else m.lastgroup) for m in PATTERN.finditer(text)]
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, entity) of each mention, in order.
+
+    A person who is named in full is also meant by the given name or the surname
+    alone, with or without a title: by the nearest such person before, of the
+    title's gender if there is one, else by the first after.
+    """
+    found = [(a, b, k, text[a:b]) for a, b, k in entities(text)]
+    full = [(a, *parts(t)[1:], t) for a, _, k, t in found if k == "person" and parts(t)[1].split(" ")[0] in _GENDER]
+    if not full:
+        return found
+
+    def meant(at: int, word: str, gender: str) -> str | None:
+        same = [x for x in full if word in (x[1].split(" ")[0], x[2])]
+        same = [x for x in same if _GENDER[x[1].split(" ")[0]].startswith(gender)] or same
+        return (max((x for x in same if x[0] <= at), default=None) or min(same))[3] if same else None
+
+    out, spans = [], [(a, b) for a, b, _, _ in found]
+    for a, b, k, t in found:
+        if k == "person" and parts(t)[1].split(" ")[0] not in _GENDER:
+            t = meant(a, parts(t)[2], TITLES.get(parts(t)[0].rstrip("."), "")) or t
+        out.append((a, b, k, t))
+    words = {w for _, given, surname, _ in full for w in (given.split(" ")[0], surname)}
+    at = 0
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?!\w)", text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at == len(spans) or spans[at][0] >= m.end():
+            out.append((*m.span(), "person", meant(m.start(), m[0], "")))
+    return sorted(out)
+
+
+def shown(kind: str, mention: str, entity: str, image: str) -> str:
+    """What stands for a mention whose entity has the surrogate ``image``."""
+    if kind != "person" or mention == entity:
+        return image
+    title, given, surname = parts(mention)
+    _, own, _ = parts(entity)
+    _, new, last = parts(image)
+    if not given:
+        short = new.split(" ")[0] if surname == own.split(" ")[0] else last
+        return f"{title} {short}" if title else short
+    return " ".join(x for x in (title, new if given == own else re.sub(rf"[{_UPPER}](?=\.)", "X", given), last) if x)
 
 
 def _replace(key: bytes):
@@ -165,9 +255,9 @@ def _replace(key: bytes):
                 texts, lists = [], []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     out, last, listed = [], 0, []
-                    for start, end, k in entities(text) if text else ():
-                        s, was, now = known(k, text[start:end])
-                        out += [text[last:start], s]
+                    for start, end, k, t in mentions(text) if text else ():
+                        s, was, now = known(k, t)
+                        out += [text[last:start], shown(k, text[start:end], t, s)]
                         last = end
                         listed.append({"kind": k, "was": was, "is": now})
                     texts.append("".join([*out, text[last:]]) if out else text)
