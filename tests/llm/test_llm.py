@@ -274,6 +274,19 @@ def test_toxicity():
     assert m.logit(m.table(["x"])[:0]) == m.bias
 
 
+def test_features_of_long_tokens():
+    long = "毒" * 30 + "vilegrub" + "字" * 30
+    assert set(toxicity.features("vilegrub")[1:]) & set(toxicity.features(long))
+    inner = {toxicity.zlib.crc32(b"vilegrub"[i : i + n]) % toxicity.BUCKETS for n in (4, 5, 6) for i in range(9 - n)}
+    assert inner <= set(toxicity.features(long))
+    m = toxicity._blank(toxicity.np.random.default_rng(1))
+    word = "ab" * 9000 + "毒"
+    a = m.table(["x", word])
+    toxicity.LONG, was = 1 << 20, toxicity.LONG
+    assert toxicity.np.allclose(a, m.table(["x", word]), atol=1e-5)
+    toxicity.LONG = was
+
+
 def test_replaces_in_table(spark, work):
     got = pii.replace_entities(docs(spark, ["to a@b.com", None, "", "to A@B.com"]), work, ["doc_id"]).orderBy("doc_id").collect()
     assert got[1].text is None and got[2].text == "" and got[0].text != "to a@b.com"
