@@ -6,23 +6,35 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.plans.adapters import read, view
 from siltstone.plans.registry import query
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder; iterations start from it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables; only a session on one machine, as in tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder; iterations start from it. ``last``, a table made so before, is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._siltstone_path = path
+    if old := getattr(last, "_siltstone_path", None):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return made
 
 
 def page_rank(edges: DataFrame, iterations: int = 10, supers: tuple[str, ...] = ()) -> DataFrame:
@@ -42,7 +54,7 @@ def page_rank(edges: DataFrame, iterations: int = 10, supers: tuple[str, ...] =
         host = sent.groupBy("target", "source_root", "source").agg(F.avg("c").alias("c"))
         root = host.groupBy("target", "source_root").agg(F.when(F.col("source_root").isin(*supers) if supers else F.lit(False), F.sum("c")).otherwise(F.avg("c")).alias("c"))
         total = root.groupBy("target").agg(F.sum("c").alias("c"))
-        rank = cut(nodes.join(total, nodes.node == total.target, "left").select("node", (0.15 + 0.85 * F.coalesce("c", F.lit(0.0))).alias("rank")))
+        rank = cut(nodes.join(total, nodes.node == total.target, "left").select("node", (0.15 + 0.85 * F.coalesce("c", F.lit(0.0))).alias("rank")), rank)
     return rank
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from siltstone.plans.registry import ORACLE, QUERIES
 
-MODULES = [f"operators.{m}" for m in ("stats", "joins", "filters", "windows", "crawldb", "lists", "graph", "dedupe", "lookups")] + ["streaming.stats"]
+MODULES = [f"operators.{m}" for m in ("stats", "joins", "filters", "windows", "crawldb", "lists", "graph", "dedupe", "lookups", "content", "store")] + ["streaming.stats"]
 
 
 def _load() -> None:

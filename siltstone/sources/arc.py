@@ -9,6 +9,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: How a gzip member with the deflate method starts, and the bytes that are inflated at a time.
+MAGIC, STEP = b"\x1f\x8b\x08", 1 << 14
 SCHEMA = "file string, offset long, url string, ip string, ts string, mime string, length long, headers string, body binary"
 
 
@@ -21,25 +23,42 @@ def encode_record(url: str, ip: str, ts: str, mime: str, headers: str, body: byt
     return out.getvalue()
 
 
+def _member(view: memoryview, at: int) -> tuple[bytes, int] | None:
+    """The content of the gzip member at ``at`` and where it ends; None if it is damaged or cut off."""
+    z, out, pos = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof and pos < len(view):
+            out.append(z.decompress(view[pos : pos + STEP]))
+            pos += STEP
+    except zlib.error:
+        return None
+    return (b"".join(out), min(pos, len(view)) - len(z.unused_data)) if z.eof else None
+
+
 def decode_records(data: bytes):
-    """(offset, url, ip, ts, mime, length, headers, body) of each member; a damaged one ends the file."""
-    at = 0
+    """(offset, url, ip, ts, mime, length, headers, body) of each member, in time linear in the archive's length.
+
+    Where a member is damaged, a row with its offset and nulls tells so, and
+    reading goes on at the next place that starts a whole member.
+    """
+    at, view, damaged = 0, memoryview(data), False
     while at < len(data):
-        z = zlib.decompressobj(31)
-        try:
-            raw = z.decompress(data[at:]) + z.flush()
-        except zlib.error:
-            return
+        found = _member(view, at) if data.startswith(MAGIC, at) else None
+        if found is None:
+            if not damaged:
+                yield (at, *[None] * 7)
+            damaged, at = True, data.find(MAGIC, at + 1)
+            if at < 0:
+                return
+            continue
+        raw, end = found
         line, _, rest = raw.partition(b"\n")
         parts = line.decode("utf-8", "replace").rsplit(" ", 4)
         if len(parts) == 5 and parts[4].isdigit() and not parts[0].startswith("filedesc:"):
             content = rest[: int(parts[4])]
             headers, _, body = content.partition(b"\r\n\r\n")
             yield (at, *parts[:4], int(parts[4]), headers.decode("latin-1").replace("\r\n", "\n"), body)
-        used = len(data) - at - len(z.unused_data)
-        if not used or not z.eof:
-            return
-        at += used
+        damaged, at = False, end
 
 
 def _decode(batches):
@@ -52,7 +71,7 @@ def _decode(batches):
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``; a task reads whole files."""
+    """One row per record of the archives under ``path``, and one with nulls per damaged stretch; a task reads whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_decode, SCHEMA)
 

@@ -17,7 +17,15 @@ def test_arc_round_trip(spark, tmp_path):
     assert sorted((r.url, r.ip, r.ts, r.mime, r.headers, bytes(r.body)) for r in back.collect()) == rows
     at = back.orderBy("offset").select("file", "offset").limit(1)
     assert arc.fetch_items(back, at).first().url == "http://h/0"
-    assert list(arc.decode_records(b"junk")) == []
+    assert list(arc.decode_records(b"junk")) == [(0, *[None] * 7)]
+
+
+def test_arc_damage_and_length():
+    members = [arc.encode_record(f"http://h/{i}", "1.2.3.4", "20120101000000", "text/html", "A: b", b"x" * 100) for i in range(2000)]
+    broken = bytearray(members[700])
+    broken[20:40] = b"\0" * 20
+    found = list(arc.decode_records(b"".join([*members[:700], bytes(broken), *members[701:], members[0][:30]])))
+    assert [r[1] for r in found] == [*(f"http://h/{i}" for i in range(700)), None, *(f"http://h/{i}" for i in range(701, 2000)), None]
 
 
 def test_text_sources(spark, tmp_path):
