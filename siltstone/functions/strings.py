@@ -115,7 +115,7 @@ def repaired_url(url: Column) -> Column:
     x = F.replace(F.trim(F.regexp_replace(url, r"[\t\r\n]", "")), F.lit(" "), F.lit("%20"))
     x = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
     digits = F.array_distinct(F.regexp_extract_all(x, F.lit("(%[0-9A-Fa-f]{2})"), F.lit(1)))
-    plain = lambda c: F.decode(F.unhex(F.substring(c, 2, 2)), "US-ASCII")
+    plain = lambda c: F.decode(F.unhex(F.substring(c, 2, 2)), "ISO-8859-1")
     better = lambda c: F.when(plain(c).rlike("^[A-Za-z0-9_.~-]$"), plain(c)).otherwise(F.upper(c))
     x = F.aggregate(digits, x, lambda text, c: F.replace(text, c, better(c)))
     return F.regexp_replace(x, r"(?<!:)/(?:\.?/)+", "/")

@@ -110,7 +110,7 @@ def multi_output(records: DataFrame, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(html, '<a [^>]*href="[^"]+"')) AS n_anchors,
+@query("""SELECT page_id, replace(replace(replace(nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href="[^"]+"')) AS n_anchors,
 md5(array_to_string(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1), lambda h: CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h ELSE h END), ' ')) AS anchors_md5 FROM pages""".replace("\\\\s", "\\s"))
 def html_title_links_parsed(spark, d):
     """Title and resolved anchors of each page, by the parser."""

@@ -46,15 +46,15 @@ def link_classification(spark, d):
     return view(spark, d, "links").groupBy("source").agg(e("source = target").alias("intra_domain"), e("source <> target and source_root = target_root").alias("intra_root"), e("source_root <> target_root").alias("inter_domain"))
 
 
-def merge_statuses(statuses):
-    """Statuses (url, attempt_time, fetch_id, http_result, content_len) -> one summary per URL.
+def merge_statuses(statuses, *by):
+    """Statuses (url, attempt_time, fetch_id, http_result, content_len) -> one summary per URL, and per value of the columns ``by``.
 
     Results of the latest attempt by (time, id) count; ``crawl_count`` is the
     number of 2xx attempts, as for records folded in time order.
     """
     key = F.struct("attempt_time", "fetch_id")
     ok = F.expr("http_result between 200 and 299")
-    return statuses.groupBy("url").agg(
+    return statuses.groupBy("url", *by).agg(
         F.count("*").alias("attempt_count"), F.max("attempt_time").alias("latest_attempt"), F.max_by("http_result", key).alias("http_result"),
         F.count_if(ok).alias("crawl_count"), F.max(F.when(ok, F.col("attempt_time"))).alias("latest_crawl"),
         F.max_by("content_len", F.when(ok, key)).alias("content_len"),
@@ -93,12 +93,8 @@ def merge_records(records):
 @query("""WITH r AS (SELECT url, fetch_id % 5 AS segment, count(*) AS attempt_count, max(attempt_time) AS latest_attempt, arg_max(http_result, (attempt_time, fetch_id)) AS http_result, count(*) FILTER (WHERE http_result BETWEEN 200 AND 299) AS crawl_count, max(attempt_time) FILTER (WHERE http_result BETWEEN 200 AND 299) AS latest_crawl FROM fetches GROUP BY 1, 2)
 SELECT url, sum(attempt_count)::BIGINT AS attempt_count, sum(crawl_count)::BIGINT AS crawl_count, max(latest_attempt) AS latest_attempt, arg_max(http_result, (latest_attempt, segment)) AS http_result, max(latest_crawl) AS latest_crawl FROM r GROUP BY url""")
 def merge_of_merged(spark, d):
-    f = view(spark, d, "fetches")
-    parts = [merge_statuses(f.where(f"fetch_id % 5 = {s}")).withColumn("segment", F.lit(s)) for s in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return merge_records(out)
+    f = view(spark, d, "fetches").withColumn("segment", F.col("fetch_id") % 5)
+    return merge_records(merge_statuses(f, "segment"))
 
 
 @query("""SELECT coalesce(m.url, s.url, l.url) AS url, CASE WHEN m.url IS NOT NULL THEN 'merged' WHEN s.url IS NOT NULL THEN 'status' ELSE 'link' END AS elected

@@ -135,10 +135,23 @@ def domain_hash_list(spark, d):
 @query("""WITH f AS (SELECT DISTINCT server_ip, string_split(server_ip, '.') AS p FROM fetches), n AS (SELECT server_ip, p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT AS ip FROM f)
 SELECT server_ip FROM n WHERE NOT (ip & 4294967292 = 167772420 OR ip & 4294967040 = 167773184)""")
 def ip_block(spark, d):
-    """Addresses outside all (subnet, mask) rules; rules meet addresses by their /16 first."""
-    rules = spark.createDataFrame([(167772420, 4294967292), (167773184, 4294967040)], "subnet long, mask long").withColumn("b16", F.expr("subnet & 4294901760"))
+    """Addresses outside all (subnet, mask) rules."""
+    rules = spark.createDataFrame([(167772420, 4294967292), (167773184, 4294967040)], "subnet long, mask long")
     f = view(spark, d, "fetches").select("server_ip").distinct().withColumn("ip", urls.ip_to_int(F.col("server_ip")))
-    return f.withColumn("b16", F.expr("ip & 4294901760")).alias("f").join(F.broadcast(rules.alias("r")), F.expr("f.b16 = r.b16 and ip & mask = subnet"), "left_anti").select("server_ip")
+    return outside(f, rules).select("server_ip")
+
+
+def outside(addresses, rules, most: int = 64):
+    """Rows of ``addresses`` (with a number ``ip``) that no rule (subnet, mask) holds; a join by equality for each of at most ``most`` masks."""
+    masks = [r["mask"] for r in rules.select("mask").distinct().limit(most + 1).collect()]
+    if len(masks) > most:
+        raise ValueError(f"more than {most} different masks")
+    out = addresses
+    for m in masks:
+        own = rules.where(F.col("mask") == m).select((F.col("subnet").bitwiseAND(m)).alias("_net")).distinct()
+        own = F.broadcast(own) if own.count() <= 100_000 else own
+        out = out.join(own, F.col("ip").bitwiseAND(m) == F.col("_net"), "left_anti")
+    return out
 
 
 @query("SELECT host, coalesce(hint, server_ip) AS ip FROM (SELECT host, min(server_ip) AS server_ip FROM fetches GROUP BY host) LEFT JOIN (VALUES ('h1.site1.com', '9.9.9.9')) t(host, hint) USING (host)")

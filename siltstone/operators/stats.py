@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.plans.adapters import read, view
@@ -125,7 +126,9 @@ def ip_host_pairs(spark, d):
 
 @query("SELECT host, list_sort(list(DISTINCT server_ip))[1:10] AS ips FROM fetches GROUP BY host")
 def host_ips_max10(spark, d):
-    return view(spark, d, "fetches").groupBy("host").agg(F.slice(F.sort_array(F.collect_set("server_ip")), 1, 10).alias("ips"))
+    pairs = view(spark, d, "fetches").select("host", "server_ip").distinct()
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("server_ip"))).where("r <= 10")
+    return first.groupBy("host").agg(F.sort_array(F.collect_list("server_ip")).alias("ips"))
 
 
 def rank_score(same, diff):

@@ -15,13 +15,9 @@ def page(df, number: int, size: int, order, descending: bool = False):
     Descending pages are windows counted from the end and reversed; the last may
     be partial. Ascending or not, only ``offset + limit`` rows reach the driver.
     """
-    total = df.count()
-    if not descending:
-        return df.orderBy(*order).offset(number * size).limit(size), total
-    end = total - number * size
-    start = max(0, end - size)
-    rows = df.orderBy(*order).offset(start).limit(max(0, end - start))
-    return rows.orderBy(*(F.col(c).desc() if isinstance(c, str) else c for c in order)), total
+    if descending:
+        order = [F.col(c).desc() if isinstance(c, str) else c for c in order]
+    return df.orderBy(*order).offset(number * size).limit(size), df.count()
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25 OFFSET 50")
