@@ -5,7 +5,7 @@ of all strings of the entity's format: vowels stay vowels, consonants stay
 consonants of the same script and case, digits stay digits. An entity therefore
 has one surrogate wherever it occurs, and two entities of a format never share
 one. Card numbers keep their checksum, addresses stay in the public range, given
-names stay in the list of their gender. A check over the whole corpus compares
+names stay in the list of their gender, and nothing is its own surrogate. A check over the whole corpus compares
 distinct entities with distinct surrogates and re-keys the run if two collide.
 """
 
@@ -16,15 +16,15 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Workspace
 
 #: Given names by gender, told by a title or followed by a capitalised surname.
 GIVEN = {
-    "f": "Anna Maria Laura Julia Sarah Emma Sophie Claire Marie Camille Elena Carmen Lucia Isabel Ingrid Petra Sabine Monika Alice Mary Jennifer Linda Susan Karen Emily Olivia Hannah Nora".split(),
-    "m": "John James Robert Michael William David Thomas Peter Paul Hans Klaus Stefan Wolfgang Jean Pierre Michel Antoine Carlos Juan Miguel Pedro Luis Daniel Andrew George Edward Henry Oliver".split(),
+    "f": "Anna Maria Laura Julia Sarah Emma Sophie Claire Marie Camille Elena Carmen Lucia Isabel Ingrid Petra Sabine Monika Alice Mary Jennifer Linda Susan Karen Emily Olivia Hannah Nora Ana María Lucía Sofía Beatriz Nathalie Isabelle Charlotte Katharina Lena Elizabeth Margaret Jessica Françoise".split(),
+    "m": "John James Robert Michael William David Thomas Peter Paul Hans Klaus Stefan Wolfgang Jean Pierre Michel Antoine Carlos Juan Miguel Pedro Luis Daniel Andrew George Edward Henry Oliver José Antonio Manuel Francisco Javier Fernando Jorge François Jacques Jürgen Markus Andreas Christopher Joseph".split(),
 }
 #: Given names by gender in Cyrillic and Greek script.
 NAMES = GIVEN | {
@@ -41,7 +41,7 @@ _SURNAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)*"
 _TITLE = r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[ ]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
+    r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[^\W_](?:[^\W_]|-)*(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}(?![\w-]))"
     r"|(?P<secret>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?![A-Za-z])[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/](?:[A-Za-z0-9_\-+/.=~!@#$%^&*]{6,})[A-Za-z0-9_\-+/=~!@#$%^&*]))"
     r"|(?P<bare>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
@@ -49,7 +49,7 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
-    rf"|(?P<person>(?:{_TITLE})?(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")[ ](?:[{_UPPER}]\.[ ])?{_SURNAME}(?!\w)|{_TITLE}(?:[{_UPPER}]\.[ ])*{_SURNAME}(?!\w))"
+    rf"|(?P<person>(?:{_TITLE})?(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")[ ](?:[{_UPPER}]\.[ ])?{_SURNAME}(?!\w)|{_TITLE}(?:[{_UPPER}]\.[ ])*{_SURNAME}(?:[ ](?!(?:Sr|Jr)\b){_SURNAME})?(?!\w))"
 )
 #: Prefixes of bare secrets keep their form.
 _PREFIX = re.compile(r"AKIA|AIza|gh[pousr]_|sk-|xox[abprs]-|eyJ")
@@ -57,7 +57,10 @@ _MAY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|sk-|gh[pousr]_|AIza|AKIA|x
 #: Country calling codes of one and two digits; others have three.
 _CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
-_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñç", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+#: Letters that stand for each other, and ranges of letters of other scripts that do.
+_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñç", "åæøœ", "ðłđþß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+_RANGES = [(0x100, 0x17F), (0x3AC, 0x3CE), (0x450, 0x52F), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x1E00, 0x1EFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+_ALPHABETS += ["".join(c for c in map(chr, range(lo, hi + 1)) if c.isalpha() and c == c.lower() and (not c.upper().isascii()) and not any(c in x for x in _ALPHABETS)) for lo, hi in _RANGES]
 _PLACE = {c: (a, i) for a, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
 _HEX = {c: (0, i) for i, c in enumerate("0123456789abcdef")}
 
@@ -67,7 +70,11 @@ def _prf(key: bytes, *what) -> int:
 
 
 def permute(places: list[int], radixes: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed bijection on digits of mixed radixes."""
+    """A keyed bijection on digits of mixed radixes that leaves no value as it was.
+
+    A Feistel network puts all values into a secret order; each value is replaced
+    by the one a secret number of steps further on.
+    """
     half = (len(places) + 1) // 2
     sides = []
     for lo, hi in ((0, half), (half, len(places))):
@@ -75,9 +82,16 @@ def permute(places: list[int], radixes: list[int], key: bytes, tweak: str) -> li
         for p, r in zip(places[lo:hi], radixes[lo:hi], strict=True):
             x, size = x * r + p, size * r
         sides.append([x, size])
-    for i in range(8):
-        a, b = sides[i % 2], sides[1 - i % 2]
-        a[0] = (a[0] + _prf(key, tweak, i, b[0])) % a[1]
+    (_, m), (_, n) = sides
+    if m * n > 1:
+        for i in range(8):
+            a, b = sides[i % 2], sides[1 - i % 2]
+            a[0] = (a[0] + _prf(key, tweak, i, b[0])) % a[1]
+        moved = (sides[0][0] * n + sides[1][0] + 1 + _prf(key, tweak, "step") % (m * n - 1)) % (m * n)
+        sides[0][0], sides[1][0] = divmod(moved, n)
+        for i in reversed(range(8)):
+            a, b = sides[i % 2], sides[1 - i % 2]
+            a[0] = (a[0] - _prf(key, tweak, i, b[0])) % a[1]
     out = []
     for (x, _), (lo, hi) in zip(sides, ((0, half), (half, len(places))), strict=True):
         part = []
@@ -181,10 +195,11 @@ def identity(kind: str, text: str) -> str:
     if kind == "person":
         _, given, surname = parts(text)
         first = given.split(" ")[0]
-        return f"person:{first + ' ' if first in _GENDER else ''}{surname}"
+        named = [w for w in given.split(" ") if w and not w.endswith(".")]
+        return f"person:{' '.join([*(named[:1] if first in _GENDER else named), surname])}"
     if kind in ("phone", "iban", "card"):
         return f"{kind}:{'+' * text.startswith('+')}{_plain(text)}"
-    return f"{kind}:{text.lower()}"
+    return f"{kind}:{text if kind == 'secret' else text.lower()}"
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -273,8 +288,13 @@ def collisions(found: DataFrame) -> DataFrame:
     return mentions.groupBy("kind", "is").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def replace_entities(docs: DataFrame, work: Workspace, keep: list[str], text_col: str = "text", secret: str = "siltstone") -> DataFrame:
-    """Columns ``keep``, text (entities replaced) and entities (kind, was, is: digests).
+def key_of(spark: SparkSession) -> str:
+    """The session's secret, by the setting ``spark.siltstone.pii.key``; without one a public word, for tests only."""
+    return spark.conf.get("spark.siltstone.pii.key", "public word for tests")
+
+
+def replace_entities(docs: DataFrame, work: Workspace, keep: list[str], *, secret: str, text_col: str = "text", name: str = "entities") -> DataFrame:
+    """Columns ``keep``, text (entities replaced) and ``name`` (kind, was, is: digests).
 
     A text without entities, null or empty stays as it is. Repeated rows keep a row
     each; columns that aren't kept aren't read; an empty table gives an empty result.
@@ -285,6 +305,6 @@ def replace_entities(docs: DataFrame, work: Workspace, keep: list[str], text_col
         key = hashlib.blake2b(f"{secret}:{attempt}".encode(), digest_size=32).digest()
         found = work.keep(chosen.mapInArrow(_replace(key), ddl + "text string, entities array<struct<kind string, was long, is long>>"), "replaced")
         if not collisions(found).limit(1).count():
-            return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text", "entities")
+            return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text", F.col("entities").alias(name))
         work.forget(found)
     raise RuntimeError("surrogates collide under every key")

@@ -123,9 +123,9 @@ FROM sets s LEFT JOIN copies c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOI
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltstone.llm.pii import replace_entities
+    from siltstone.llm.pii import key_of, replace_entities
 
-    found = replace_entities(table(spark, sf_dir, "documents"), Workspace(spark, "pii"), ["doc_id"])
+    found = replace_entities(table(spark, sf_dir, "documents"), Workspace(spark, "pii"), ["doc_id"], secret=key_of(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.col("entities.kind"))), ",")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
 
