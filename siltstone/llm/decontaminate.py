@@ -27,8 +27,8 @@ def words(text: Column) -> Column:
 
 
 def phrases(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct (item_id, phrase): every n consecutive words, or all words of a shorter item."""
-    w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where("size(w) > 0 and item_id is not null")
+    """Distinct (item_id, phrase), item_id as text or null: every n consecutive words, or all words of a shorter item."""
+    w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))))
     return w.withColumn("s", start).select("item_id", F.expr(f"slice(w, s, {n})").alias("phrase")).distinct()
 
@@ -68,11 +68,17 @@ class PositionalIndex:
         ``around`` holds the words up to ``reach`` before and after, ``from`` the
         position of its first one. Positions count from 0.
         """
-        own = _sized(self.work.keep(plan.select("term").distinct(), "indexed"))
-        listed = self.tokens.select("doc_id", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "term")).join(own, "term")
+        own = self.work.keep(plan.select("term").distinct(), "indexed")
+        texts = self.tokens.select("doc_id", F.xxhash64("doc_id", "w").alias("row"), F.size("w").alias("n_words"), "w")
         first = F.greatest(F.col("pos") - reach, F.lit(0))
         around = F.expr(f"slice(w, greatest(pos - {reach}, 0) + 1, {2 * reach + 1})")
-        return self.work.keep(listed.select("doc_id", F.xxhash64("doc_id", "w").alias("row"), "n_words", "term", "pos", around.alias("around"), first.alias("from")), "postings")
+        listed = texts.select("*", F.posexplode("w").alias("pos", "term"))
+        if own.count() <= BROADCAST_ROWS:
+            listed = listed.join(F.broadcast(own), "term")
+        else:  # words are cut out before the shuffle, so that no text travels with each of its words
+            listed = listed.select("doc_id", "row", "n_words", "term", "pos", around.alias("around")).join(own, "term")
+            return self.work.keep(listed.select("*", first.alias("from")), "postings")
+        return self.work.keep(listed.select("doc_id", "row", "n_words", "term", "pos", around.alias("around"), first.alias("from")), "postings")
 
     def exact(self, wanted: DataFrame, reach: int) -> DataFrame:
         """(doc_id, row, n_words, start, phrase): every occurrence of every phrase of at most ``reach`` + 1 words."""
@@ -94,7 +100,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, work: Workspace, n: int = 1
 
     A document is contaminated if ``percent`` of its words or more lie in a phrase
     of an item. Documents and items may be null, empty, repeated or absent; copies
-    of a row have equal results. Other columns aren't read.
+    of a row have equal results. An item without an id is searched for, but has no
+    name to count or list. Other columns aren't read.
     """
     wanted = work.keep(phrases(items, n), "phrases")
     index = PositionalIndex(docs, work)
@@ -103,7 +110,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, work: Workspace, n: int = 1
     covered = hits.select("row", F.explode(F.expr("sequence(start, start + size(phrase) - 1)")).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     found = hits.select("row", "phrase").distinct().join(_sized(wanted), "phrase").select("row", "item_id").distinct()
     # a document's list is bounded by the number of items
-    named = found.groupBy("row").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item_id"))).alias("items"))
+    named = found.groupBy("row").agg(F.count("item_id").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item_id"))).alias("items"))
     stats = work.keep(covered.join(named, "row"), "stats")
     every = index.tokens.select("doc_id", F.size("w").cast("long").alias("n_words"), F.xxhash64("doc_id", "w").alias("row"))
     out = every.join(stats, "row", "left").withColumn("hit", F.coalesce("n_hit", F.lit(0)))

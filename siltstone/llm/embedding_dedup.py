@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Workspace, mix64, signed
@@ -127,21 +127,22 @@ def _meet(cosine: float):
 def near_duplicates(vectors: DataFrame, work: Workspace, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Vectors are compared if their labels are equal and not null and they have as
-    many components. A vector that is null, empty, zero or holds a null or
+    Vectors are compared if their labels, of any type, are equal (by a 64-bit
+    digest) and not null and they have as many components. A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing and is its own component. Repeated
     ids keep a row each; a null id never names a component unless it is alone.
     Other columns aren't read. An empty table gives an empty result.
     """
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col))).alias("label"), v.alias("v"))
     fine = F.expr("label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("h", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "v")))
     classes = work.keep(rows.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
     k, tables = parameters(classes.count(), cosine)
     keyed = work.keep(classes.select("h", "label", "v").mapInArrow(_buckets(k, tables, seed), "h long, keys array<long>"), "keys")
     spread = keyed.select("h", F.posexplode("keys").alias("t", "key"))
-    met = spread.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    sizes = work.keep(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    met = spread.join(sizes, "key")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     placed = met.select("key", "t", "h", F.pmod(F.xxhash64("h", "t"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = work.keep(placed.select("key", "t", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h"), "placed")
