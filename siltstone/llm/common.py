@@ -2,13 +2,14 @@
 
 Intermediate tables are written as Parquet under the folder named by
 ``spark.checkpoint.dir`` (shared by driver and executors), so a lost executor
-costs recomputation of its tasks only. Where the setting is absent, as in
-tests on one machine, a temporary folder is chosen and stored in the session.
+costs recomputation of its tasks only. Where the setting is absent, a session on
+one machine, as in tests, gets a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,13 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="siltstone-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.paths = 0, set()
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -51,11 +54,20 @@ class Workspace:
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._siltstone_path = path
+        self.paths.add(path)
         return kept
 
-    def forget(self, df: DataFrame) -> None:
-        """Delete a table that ``keep`` returned and that nothing reads any more."""
-        self._delete(df._siltstone_path)
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete tables that ``keep`` returned and that nothing reads any more."""
+        for df in tables:
+            self.paths.discard(df._siltstone_path)
+            self._delete(df._siltstone_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, which the result still reads."""
+        for path in self.paths - {df._siltstone_path for df in tables}:
+            self.paths.discard(path)
+            self._delete(path)
 
     def drop(self) -> None:
         self._delete(self.root)

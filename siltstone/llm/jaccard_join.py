@@ -7,15 +7,20 @@ shingles. Hashing splits the universe of shingles into segments, each worth one
 unit (indexed by its whole subset: it survives no difference) or two units
 (indexed by its subset and all subsets with one shingle deleted: it survives one
 difference). With ``H + 1 + 2 * A`` units, a pair keeps more than ``2 * A`` of
-them whatever the differences, so each of the two sets may leave ``A`` units of
-its own choice out of the index and still meet the other: it leaves out empty
-segments and then those with the longest posting lists, as counted over the
-whole corpus. How many segments of each kind a band gets is decided by cost.
-
-Sets that meet under a key are verified against the key's hub (the member with
-most company) and the links are closed to components. Two members that are
-still apart can link only if they differ from the hub in a common shingle and
-are about as far from it; only such pairs are verified after that. No link
+them whatever the differences, so each of the two sets may leave ``A`` units out
+of the index and still meet the other, or ``2 * A`` where all segments are of the
+first kind and both sets leave out the first keys of one order of all keys. It
+leaves out empty segments and then those with the longest posting lists, as
+counted over the whole corpus. How many segments of each kind a band gets is
+decided by cost.
+
+Sets that meet under a key are a group. A group of at most ``LOCAL`` members is
+closed to components by one task; groups of the same members count once. A larger
+group gets a hub, its members are verified against it, and the links are closed.
+Two members that are still apart can link only if they share differences from the
+hub, more than half of those of one of them; such members meet again under their
+rarest differences, in groups that are closed by a task or get hubs of their own.
+Each round tests a row per member and group, never a large group's pairs. No link
 between different sets is lost: every pair that meets is verified, or already
 connected, or proven to be below the threshold.
 """
@@ -24,7 +29,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +41,20 @@ from siltstone.llm.components import connected_components
 
 #: Members that are verified against one hub in one group of rows.
 CHUNK = 200
-#: Classes whose texts are fetched by a broadcast of their ids (16 bytes each); more go through a shuffle.
+#: Tables of at most so many rows (40 bytes each) are broadcast, by their count; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Assumed chance that an unrelated document holds a given shingle.
-COINCIDENCE = 1 / 64
+COINCIDENCE = 1 / 1024
+#: Units that a set may leave out, as a share of those that differences can spoil.
+ALLOWANCE = 0.1
+#: Sets whose postings a task remembers to have written, and members whose differences tell a hub's common ones.
+SEEN, GUIDES = 200_000, 32
+#: Shingles in a part of a sketch, on average.
+PART = 4
+#: Most members of a group that one task compares by sketches.
+WIDE = 4096
+#: Most members of a group that one task closes, and shingles that it counts at a time.
+LOCAL, COLUMNS = 512, 1 << 12
 _SLOT = 1 << 20
 
 
@@ -60,7 +75,7 @@ class Bands:
     """Size bands for a threshold in percent; ``docs`` (a count of the corpus) weighs the costs."""
 
     def __init__(self, percent: int, docs: int):
-        self.percent, self.docs, self.ratio = percent, max(docs, 1), max(1.25, 100 / percent)
+        self.percent, self.docs, self.ratio = percent, max(docs, 1), max(1.6, 100 / percent)
 
     @lru_cache(maxsize=None)  # noqa: B019  one object per task
     def low(self, k: int) -> int:
@@ -87,17 +102,18 @@ class Bands:
         h = self.differences(k)
         if h == 0:
             return None
-        allowance = math.ceil(0.1 * (h + 1))
+        allowance = math.ceil(ALLOWANCE * (h + 1))
         units, size, best = h + 1 + 2 * allowance, self.low(k), None
         for step in range(9):
             d = units // 2 * step // 8
             x = units - 2 * d
             z = size / (d + x)
             rows = x + d * (z + 1)
-            met = x * COINCIDENCE**z + d * (z + 1) * COINCIDENCE ** max(z - 1, 0)
-            cost = self.docs * rows + float(self.docs) ** 2 * met
+            # a posting that meets another set's costs as much again
+            met = x * min(1, self.docs * COINCIDENCE**z) + d * (z + 1) * min(1, self.docs * COINCIDENCE ** max(z - 1, 0))
+            cost = rows + met
             if best is None or cost < best[0]:
-                best = (cost, Allocation(d, x, allowance))
+                best = (cost, Allocation(d, x, allowance if d else 2 * allowance))
         return best[1]
 
 
@@ -129,30 +145,70 @@ def index_keys(s: np.ndarray, k: int, a: Allocation) -> tuple[np.ndarray, int]:
         return np.unique(np.concatenate(out)), left
 
 
-def _first_pass(n: int, percent: int, docs: int, id_type: pa.DataType):
-    """Rows (id, n, h, keys0, allow0, keys1, allow1) of texts; h and n identify the set."""
-    kind = pa.schema([("id", id_type), ("n", pa.int64()), ("h", pa.int64()), ("keys0", pa.list_(pa.int64())), ("allow0", pa.int32()), ("keys1", pa.list_(pa.int64())), ("allow1", pa.int32())])
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each of equal parts of the universe; a power of two of parts, ``PART`` shingles a part or so."""
+    bits = max(0, (max(len(s), 1) // PART - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one length, the shortest one's: neighbouring parts are added up."""
+    parts = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, np.uint8).reshape(parts, -1).sum(axis=1, dtype=np.int32) for x in sketches])
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
+    """Whether sets of ``na`` and ``nb`` shingles with these folded sketches can link: two sets differ by as much as their sketches at least."""
+    return (100 + percent) * np.abs(a - b).sum(axis=-1) <= (100 - percent) * (na + nb)
+
+
+def _digests(n: int):
+    """Rows (id, n, h, sketch) of texts (id, text); h and n identify the set."""
 
     def run(batches):
-        hasher, bands = WordHasher(), Bands(percent, docs)
+        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = {c: [] for c in kind.names[1:]}
-                for text in part.column(1).to_pylist():
+                sets = [shingle_set(hasher, t, n) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "n", "h", "sketch"])
+
+    return run
+
+
+def _postings(n: int, percent: int, docs: int):
+    """Rows (h, tag, key) of texts: a set's keys in its bands, once per task however often the set occurs there."""
+    kind = pa.schema([("h", pa.int64()), ("tag", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        hasher, bands, seen = WordHasher(), Bands(percent, docs), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                h, tag, keys, size = [], [], [np.zeros(0, np.uint64)], []
+                for text in batch.column(0).slice(at, 64).to_pylist():
                     s = shingle_set(hasher, text, n)
-                    keys, allow = [[], []], [0, 0]
-                    for slot, k in enumerate(bands.of(len(s)) if len(s) else []):
+                    own = set_digest(s)
+                    if not len(s) or own in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    for slot, k in enumerate(bands.of(len(s))):
                         if a := bands.allocation(k):
-                            found, allow[slot] = index_keys(s, k, a)
-                            keys[slot] = signed(found)
-                    for c, v in zip(rows, (len(s), set_digest(s), keys[0], allow[0], keys[1], allow[1]), strict=True):
-                        rows[c].append(v)
-                yield pa.record_batch([part.column(0), *(pa.array(rows[f.name], f.type) for f in list(kind)[1:])], schema=kind)
+                            found, left = index_keys(s, k, a)
+                            h.append(own)
+                            tag.append(left + slot * _SLOT)
+                            keys.append(found)
+                            size.append(len(found))
+                yield pa.record_batch([pa.array(np.repeat(np.array(h, np.int64), size)), pa.array(np.repeat(np.array(tag, np.int32), size)), pa.array(signed(np.concatenate(keys)))], schema=kind)
 
     return run
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def set_digest(s: np.ndarray) -> int:
     """A signed 64-bit digest of a sorted set; 0 for the empty one."""
     if not len(s):
@@ -163,45 +219,178 @@ def set_digest(s: np.ndarray) -> int:
 
 
 def _sets(n: int):
-    """Rows (h, items) of wanted texts (want, text), items the set's digests as bytes."""
-    kind = pa.schema([("h", pa.int64()), ("items", pa.binary())])
+    """Rows (h, once, items) of wanted texts (h, once, text), items the set's digests as bytes."""
+    kind = pa.schema([("h", pa.int64()), ("once", pa.bool_()), ("items", pa.binary())])
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(w, s.tobytes()) for w, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if set_digest(s := shingle_set(hasher, t, n)) == w]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=kind)
+                rows = [(w, once, s.tobytes()) for w, once, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if set_digest(s := shingle_set(hasher, t, n)) == w]
+                yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
 
     return run
 
 
-def _verify(percent: int):
-    """Sorted rows (hub, chunk, member, items), the hub's own row first in its chunk.
+def prefixes(apart: int, common: int, own: int, hub: int, percent: int) -> tuple[bool, int, int]:
+    """Whether a set of ``own`` shingles links with its hub, and how many of its ``apart`` differences from it are keys.
+
+    With k = (1 - t) / (1 + t), two sets x and y link if they differ in at most
+    k * (|x| + |y|) shingles. If x doesn't link with the hub p, then a link of x
+    and y needs more than half of |y - p| - k * (|y| - |p|) of y's differences
+    (as counts) to be x's too, so the first count leaves out the others; it holds
+    for x as well if y doesn't link with the hub either. Against a y that links
+    with the hub, x needs the second, longer count.
+    """
+    k, of = 100 - percent, 100 + percent
+    linked = 100 * common >= percent * (own + hub - common)
+    half = apart - max((apart * of - (own - hub) * k) // (2 * of), 0)
+    most = k * (own + 100 * own // percent) // of
+    return linked, half, half if linked else max(half, apart - max(1, apart - most) + 1)
+
+
+def _compare(percent: int, differ: bool):
+    """Sorted rows (hub, chunk, role, member, w, first, items): the hub's own row (0), guides (1), members (2).
 
-    ``differ`` holds digests of shingles in which member and hub differ, as many
-    as any set that links with the member without sharing its component must
-    have in common with it at least once: new shingles first, then missing ones.
+    Gives the links (hub, member), or with ``differ`` each member's differences
+    from the hub that are keys: (hub, h, w, first, side, x). Guides are the same members
+    in every chunk of a hub; their common differences come last everywhere.
     """
-    kind = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("common", pa.int64()), ("total", pa.int64()), ("differ", pa.list_(pa.int64()))])
+    kind = pa.schema([("hub", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("first", pa.int32()), ("side", pa.int32()), ("x", pa.int64())] if differ else [("hub", pa.int64()), ("member", pa.int64())])
+
+    def apart(own, s):
+        both = np.intersect1d(own, s, assume_unique=True)
+        return both, *(np.setdiff1d(x, both, assume_unique=True) for x in (s, own))
 
     def run(batches):
-        group = own = None
+        group = own = usual = None
+        guides: list[np.ndarray] = []
         for batch in batches:
-            rows = []
-            for hub, chunk, member, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = [[np.zeros(0, np.int64)] for _ in kind]
+            for hub, chunk, role, member, w, first, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(items, np.uint64)
-                if member == hub:
-                    group, own = (hub, chunk), s
-                elif group == (hub, chunk):
-                    both = np.intersect1d(own, s, assume_unique=True)
-                    new, gone = (np.setdiff1d(x, both, assume_unique=True) for x in (s, own))
-                    apart = np.concatenate([new, gone])
-                    most = (100 - percent) * (len(s) + 100 * len(s) // percent) // (100 + percent)
-                    need = max(1, len(apart) - most)
-                    rows.append((hub, member, len(both), len(own) + len(s) - len(both), signed(apart[: len(apart) - need + 1])))
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, kind, strict=True)], schema=kind)
+                if role == 0:
+                    group, own, usual, guides = (hub, chunk), s, None, []
+                    continue
+                if group != (hub, chunk):
+                    continue
+                if role == 1:
+                    guides += apart(own, s)[1:]
+                    continue
+                if not differ:
+                    common = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * common >= percent * (len(own) + len(s) - common):
+                        rows[0].append([hub])
+                        rows[1].append([member])
+                    continue
+                if usual is None:
+                    x, n = np.unique(np.concatenate(guides), return_counts=True) if guides else (s[:0], s[:0])
+                    x, n = x[n > 1], n[n > 1]
+                    usual = x[np.argsort(n, kind="stable")]
+                both, new, gone = apart(own, s)
+                d = np.concatenate([new, gone])
+                d = np.concatenate([d[~np.isin(d, usual)], usual[np.isin(usual, d)]])
+                linked, half, full = prefixes(len(d), len(both), len(s), len(own), percent)
+                side = np.full(full, 0 if linked else 1, np.int32)
+                side[half:] = 2
+                for column, v in zip(rows, (np.full(full, hub), np.full(full, member), np.full(full, w), np.full(full, first, np.int32) if first >= 0 else side, side, signed(d[:full])), strict=True):
+                    column.append(v)
+            yield pa.record_batch([pa.array(np.concatenate(c), f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+
+    return run
+
+
+def _link_groups(percent: int):
+    """Rows (hub, h, items) sorted by hub: the links (a, b) that join each group's members, none twice."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def close(members, sets):
+        size = np.array([len(s) for s in sets])
+        x, of = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(of, kind="stable")
+        of, row = of[order], row[order]
+        for at in range(0, len(x), COLUMNS):
+            lo, hi = np.searchsorted(of, (at, at + COLUMNS))
+            m = np.zeros((len(sets), min(COLUMNS, len(x) - at)), np.float32)
+            m[row[lo:hi], of[lo:hi] - at] = 1
+            common += m @ m.T
+        common = np.rint(common).astype(np.int64)
+        i, j = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+        top = np.arange(len(sets))
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if top[a] != top[b]:
+                yield members[a], members[b]
+                top[top == top[b]] = top[a]
+
+    def run(batches):
+        key, members, sets = None, [], []
+
+        def links():
+            found = list(close(members, sets)) if len(sets) > 1 else []
+            return pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=kind)
+
+        for batch in batches:
+            for k, h, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    yield links()
+                    key, members, sets = k, [], []
+                members.append(h)
+                sets.append(np.frombuffer(items, np.uint64))
+        yield links()
+
+    return run
+
+
+def _near(percent: int):
+    """Sorted rows (hub, chunk, role, h, n, sketch), the hub's own row (role 0) first: pairs (hub, h) that can link by their sketches."""
+    kind = pa.schema([("hub", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        group = own = None
+        for batch in batches:
+            found = []
+            for hub, chunk, role, h, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    group, own, size = (hub, chunk), x, n
+                elif group == (hub, chunk) and may_link(*_folded([own, x]), size, n, percent):
+                    found.append((hub, h))
+            yield pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=kind)
+
+    return run
+
+
+def _kin(percent: int):
+    """Rows (hub, h, n, sketch) sorted by hub: those members (hub, h) of each group that can link with another one by their sketches."""
+    kind = pa.schema([("hub", pa.int64()), ("h", pa.int64())])
+
+    def able(rows):
+        if len(rows) < 2:
+            return []
+        x, n = _folded([r[2] for r in rows]), np.array([r[1] for r in rows])
+        links = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            fit = may_link(x[i], x[i + 1 :], n[i], n[i + 1 :], percent)
+            links[i] |= fit.any()
+            links[i + 1 :] |= fit
+        return [r[0] for r, ok in zip(rows, links, strict=True) if ok]
+
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            found = able(rows)
+            return pa.record_batch([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=kind)
+
+        for batch in batches:
+            for hub, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hub != key:
+                    yield done()
+                    key, rows = hub, []
+                rows.append(row)
+        yield done()
 
     return run
 
@@ -220,87 +409,174 @@ class JaccardJoin:
         self.n, self.percent, self.work = n, percent, work
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def _sets_of(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(h, items) for every class in ``pairs``, read again from one of its texts."""
-        ids = pairs.select(F.col("hub").alias("h")).union(pairs.select("member")).distinct()
-        wanted = self.work.keep(ids.join(classes, "h").select("h", "id"), "wanted")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = self.docs.alias("d").join(small.alias("w"), F.expr("d.id <=> w.id")).select("w.h", "d.text")
-        return self.work.keep(texts.mapInArrow(_sets(self.n), "h long, items binary").dropDuplicates(["h"]), "sets")
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs (hub, member) of digests -> (hub, member, common, total, differ)."""
+    def _sets_of(self, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+        """(h, items) for every class in ``wanted``, read again from one of its texts."""
+        wanted = self.work.keep(wanted.join(classes, "h").select("h", "id", "once"), "wanted")
+        texts = self.docs.alias("d").join(_sized(wanted).alias("w"), F.expr("d.id <=> w.id")).select("w.h", "w.once", "d.text")
+        found = self.work.keep(texts.mapInArrow(_sets(self.n), "h long, once boolean, items binary"), "sets")
+        if not wanted.where("not once").limit(1).count():
+            return found
+        return self.work.keep(found.where("once").union(found.where("not once").dropDuplicates(["h"])), "sets")
+
+    def _compared(self, pairs: DataFrame, sets: DataFrame, differ: bool) -> DataFrame:
+        """Distinct pairs (hub, h, w, first) -> what ``_compare`` gives, a hub's members in chunks."""
+        sizes = self.work.keep(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hubs")
+        size = F.ceil(F.col("c") / CHUNK).cast("int")
+        chunks = F.explode(F.sequence(F.lit(0), size - 1))
+        rows = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("h"), size).cast("int").alias("chunk"), F.lit(2).alias("role"), "h", "w", "first")
+        rows = rows.union(sizes.select("hub", chunks, F.lit(0), F.col("hub"), F.lit(0), F.lit(0)))
+        if differ:
+            guide = F.pmod(F.xxhash64("h", F.lit(1)), F.ceil(F.col("c") / GUIDES)) == 0
+            rows = rows.union(pairs.join(sizes, "hub").where(guide).select("hub", chunks, F.lit(1), "h", "w", "first"))
+        full = _sized(self.work.keep(rows, "compared")).join(sets, "h").select("hub", "chunk", "role", F.col("h").alias("member"), "w", "first", "items")
+        full = full.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
+        return full.mapInArrow(_compare(self.percent, differ), "hub long, h long, w long, first int, side int, x long" if differ else "hub long, member long")
+
+    def _able(self, pairs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """By sketches: which of the ``pairs`` (hub, h, c) can link, and which members of a hub with at most ``WIDE`` of them with another one."""
         work, size = self.work, F.ceil(F.col("c") / CHUNK).cast("int")
-        sizes = work.keep(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hubs")
-        placed = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("member"), size).cast("int").alias("chunk"), "member")
-        own = sizes.select("hub", F.explode(F.sequence(F.lit(0), size - 1)).alias("chunk"), F.col("hub").alias("member"))
-        rows = work.keep(placed.union(own), "placed")
-        full = rows.join(sets, rows.member == sets.h).select("hub", "chunk", "member", "items")
-        sorted_rows = full.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("member") != F.col("hub"))
-        return work.keep(sorted_rows.mapInArrow(_verify(self.percent), "hub long, member long, common long, total long, differ array<long>"), "verified")
-
-    def _close(self, held: DataFrame, classes: DataFrame) -> DataFrame:
+        rows = pairs.select("hub", F.pmod(F.xxhash64("h"), size).cast("int").alias("chunk"), F.lit(1).alias("role"), "h")
+        rows = rows.union(pairs.select("hub", "c").distinct().select("hub", F.explode(F.sequence(F.lit(0), size - 1)), F.lit(0), F.col("hub")))
+        full = _sized(work.keep(rows, "sketched")).join(sketches, "h").select("hub", "chunk", "role", "h", "n", "sketch")
+        full = full.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
+        near = work.keep(full.mapInArrow(_near(self.percent), "hub long, h long"), "near")
+        full = _sized(work.keep(pairs.where(F.col("c") <= WIDE).select("hub", "h"), "grouped")).join(sketches, "h").select("hub", "h", "n", "sketch")
+        full = full.repartition("hub").sortWithinPartitions("hub")
+        return near, work.keep(full.mapInArrow(_kin(self.percent), "hub long, h long"), "kin")
+
+    def _joined(self, comp: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components (node, component) after more links: the links join components, not sets, so that only those move."""
+        work = self.work
+        if comp is None:
+            return connected_components(links, work)
+        a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        moved = connected_components(edges, work)
+        now = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return work.keep(now.union(moved.join(comp, "node", "left_anti")), "components")
+
+    def _within(self, small: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) that close groups (hub, h) of at most ``LOCAL`` members, a group in a task."""
+        full = _sized(self.work.keep(small.select("hub", "h"), "small")).join(sets, "h").select("hub", "h", "items").repartition("hub").sortWithinPartitions("hub")
+        return full.mapInArrow(_link_groups(self.percent), "a long, b long")
+
+    def _distinct(self, groups: DataFrame) -> DataFrame:
+        """Groups (key, h, ...) of two members or more, each set of members once."""
+        of = groups.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("h")).alias("members")).where("c > 1")
+        of = self.work.keep(of.groupBy("c", "members").agg(F.min("key").alias("key")).select("key"), "distinct")
+        return self.work.keep(groups.join(of, "key"), "of_distinct")
+
+    def _pivoted(self, groups: DataFrame) -> DataFrame:
+        """Rows (key, hub, h, w, first) of the first groups: each gets the hub that its own member with most company meets most often.
+
+        Such a hub, in the group or not, is near the middle of a family of sets:
+        the family is compared with one set, however many keys it meets under.
+        """
+        work = self.work
+        weight = work.keep(groups.groupBy("key").agg(F.count("*").alias("c")).join(groups, "key").groupBy("h").agg(F.sum("c").alias("w")), "weight")
+        groups = work.keep(groups.join(weight, "h").select("key", "h", "w"), "weighed")
+        top = F.max(F.struct("w", "h"))
+        of = work.keep(groups.groupBy("key").agg(top.getField("h").alias("top"), top.getField("w").alias("top_w")), "top")
+        met = groups.join(of, "key").groupBy("h", "top").agg(F.count("*").alias("m"), F.max("top_w").alias("top_w"))
+        best = met.groupBy("h").agg(F.max(F.struct("m", "top_w", "top")).getField("top").alias("hub"))
+        chosen = work.keep(of.join(best, of.top == best.h).select("key", "hub"), "chosen")
+        return work.keep(groups.join(chosen, "key").where("h <> hub").select("key", "hub", "h", "w", F.lit(-1).alias("first")), "open")
+
+    def _mixed(self, groups: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows (key, hub, h, w, first) of the groups (key, h, w, first, side) in which two sets of different components may link.
+
+        ``side`` is what ``prefixes`` tells of a set and its last hub, ``first`` of
+        its first one: 0 linked, 1 not, 2 not and only to be tested against linked ones.
+        """
+        work = self.work
+        groups = groups.join(comp, F.col("h") == F.col("node"), "left").select("key", "h", "w", "first", "side", F.coalesce("component", "h").alias("component"))
+        lo, hi = F.min("component").alias("lo"), F.max("component").alias("hi")
+        sides = groups.groupBy("key").agg(F.min("side").alias("s"), F.min("first").alias("f"), lo, hi).where("lo <> hi").select("key", "s", "f")
+        kept = groups.join(work.keep(sides, "sides"), "key").where("(side < 2 or s = 0) and (first < 2 or f = 0)").drop("s", "f")
+        kept = self._distinct(work.keep(kept, "kept"))
+        top, linked = F.struct("w", "h"), F.col("first") == 0
+        of = kept.groupBy("key").agg(
+            lo, hi, F.count_if(linked).alias("a"), F.count_if(~linked).alias("b"),
+            F.max(F.when(linked, top)).getField("h").alias("ha"), F.max(F.when(~linked, top)).getField("h").alias("hb"),
+        )
+        # the smaller side of a group gives its hub
+        few = (F.col("a") > 0) & ((F.col("a") <= F.col("b")) | (F.col("b") == 0))
+        of = work.keep(of.where("lo <> hi").select("key", F.when(few, F.col("ha")).otherwise(F.col("hb")).alias("hub")), "mixed")
+        return work.keep(kept.join(of, "key").where("h <> hub").select("key", "hub", "h", "w", "first"), "open")
+
+    def _close(self, held: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
         """Groups ``held`` (key, h) whose members may link -> (node, component).
 
-        Each group's hub is tested against the other members and the links are
-        closed. Two members of different components can then link only if they
-        differ from the hub in a common shingle and are about as far from it (the
-        triangle inequality), so only such pairs are tested after that.
+        Sketches first tell most pairs that can't link, at a small part of the sets'
+        size. A round tests each group's hub against its members and closes the links;
+        where the members are then in one component nothing is left to test. Of
+        the other groups those with one hub are taken together: a task closes them
+        if they have at most ``LOCAL`` members. Else two members can link only if
+        they differ from the hub in common shingles (see ``prefixes``); these make
+        the groups of the next round. From the second round on the hub is a member
+        and leaves its group, so rounds end.
         """
-        work = self.work
-        linked = F.expr(f"100 * common >= {self.percent} * total")
-        sizes = work.keep(held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-        weight = work.keep(held.join(sizes, "key").groupBy("h").agg(F.sum("c").alias("w")), "weight")
-        held = work.keep(held.join(weight, "h").select("key", "h", "w"), "weighed")
-        hubs = work.keep(held.groupBy("key").agg(F.max(F.struct("w", "h")).getField("h").alias("hub"), F.count("*").alias("c")).where("c > 1"), "hub")
-        pairs = work.keep(held.join(hubs, "key").where("h <> hub").groupBy("hub", F.col("h").alias("member")).agg((F.max("c") > 2).alias("more")), "pairs")
-        sets = self._sets_of(pairs, classes)
-        tested = self._verified(pairs.select("hub", "member"), sets)
-        links = tested.where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        comp = connected_components(links, work)
-        away = (1 - F.col("common") / F.col("total")).alias("away")
-        rows = tested.join(pairs.where("more"), ["hub", "member"]).select("hub", F.col("member").alias("h"), away, F.explode("differ").alias("x"))
-        rows = rows.join(comp, F.col("h") == F.col("node"), "left").select(F.xxhash64("hub", "x").alias("key"), "h", "away", F.coalesce("component", "h").alias("component"))
-        rows = work.keep(rows, "groups")
-        mixed = work.keep(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        rows = work.keep(rows.join(mixed, "key"), "open")
-        x, y = rows.alias("x"), rows.alias("y")
-        near = F.expr(f"x.key = y.key and x.h < y.h and x.component <> y.component and abs(x.away - y.away) <= {1 - self.percent / 100 + 1e-9}")
-        more = work.keep(x.join(y, near).select(F.col("x.h").alias("hub"), F.col("y.h").alias("member")).distinct(), "more")
-        if not more.limit(1).count():
-            return comp
-        again = self._verified(more, sets)
-        return connected_components(links.union(again.where(linked).select("hub", "member")), work)
+        work, comp, sets = self.work, None, None
+        open_rows = self._pivoted(self._distinct(held))
+        while comp is None or open_rows.limit(1).count():
+            pairs = open_rows.groupBy("hub", "h").agg(F.max("w").alias("w"), F.min("first").alias("first"))
+            pairs = work.keep(pairs, "paired")
+            pairs = work.keep(pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hub"), "pairs")
+            near, kin = self._able(pairs, sketches)
+            wide = pairs.where(F.col("c") > WIDE).select("hub", "h")
+            able = kin.union(wide)
+            able = work.keep(able.join(able.groupBy("hub").agg(F.count("*").alias("c")), "hub"), "able")
+            if sets is None:  # later rounds' sets are all members of large groups now
+                some = [near.select("h"), near.select("hub"), able.select("h"), able.where(F.col("c") > LOCAL).select("hub")]
+                sets = self._sets_of(reduce(DataFrame.union, some).distinct(), classes)
+            links = self._compared(near.join(pairs, ["hub", "h"]).drop("c"), sets, False).select(F.col("hub").alias("a"), F.col("member").alias("b"))
+            comp = self._joined(comp, work.keep(links, "links"))
+            named = open_rows.join(comp, F.col("h") == F.col("node"), "left").select("key", "hub", F.coalesce("component", "h").alias("component"))
+            still = named.groupBy("key", "hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            left = open_rows.join(still.select("key"), "key").select("hub", "h").distinct().join(able, ["hub", "h"])
+            left = work.keep(left.join(pairs.drop("c"), ["hub", "h"]), "left")
+            comp = self._joined(comp, work.keep(self._within(left.where(F.col("c") <= LOCAL), sets), "inner"))
+            large = work.keep(left.where(F.col("c") > LOCAL).drop("c"), "large")
+            groups = self._compared(large, sets, True).select(F.xxhash64("hub", "x").alias("key"), "h", "w", "first", "side")
+            groups = work.keep(groups, "groups")
+            work.keep_only(classes, sketches, sets, comp, groups, *self.result)
+            open_rows = self._mixed(groups, comp)
+        return comp
 
     def run(self) -> DataFrame:
         """One row per document: id, n_shingles, component_id, n_copies (rows with an equal set, itself included)."""
-        work, percent = self.work, self.percent
-        id_type = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32()}.get(self.docs.schema["id"].dataType.simpleString(), pa.string()))]).field(0).type
+        work, count = self.work, self.docs.count()
         id_name = self.docs.schema["id"].dataType.simpleString()
-        first = self.docs.mapInArrow(
-            _first_pass(self.n, percent, self.docs.count(), id_type),
-            f"id {id_name}, n long, h long, keys0 array<long>, allow0 int, keys1 array<long>, allow1 int",
-        )
-        rows = work.keep(first, "rows")
-        classes = work.keep(rows.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-        # One posting per key and class. A window counts each key's postings: one shuffle of the index.
-        single = rows.where("n > 0").groupBy("h").agg(*(F.first(c).alias(c) for c in ("keys0", "allow0", "keys1", "allow1")))
-        slots = single.select("h", F.explode(F.array(F.struct(F.col("allow0").alias("tag"), F.col("keys0").alias("keys")), F.struct((F.col("allow1") + _SLOT).alias("tag"), F.col("keys1").alias("keys")))).alias("s"))
-        postings = slots.select("h", "s.tag", F.explode("s.keys").alias("key"))
-        met = postings.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-        met = work.keep(met, "met")
+        rows = work.keep(self.docs.mapInArrow(_digests(self.n), f"id {id_name}, n long, h long, sketch binary"), "sketched_rows")
+        sketches = work.keep(rows.where("n > 0").groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        whole, rows = rows, work.keep(rows.drop("sketch"), "rows")
+        work.forget(whole)
+        # a class is read again from the row of its smallest id, or rows if the id isn't unique
+        ids = rows.where("n > 0").groupBy("id").agg(F.count("*").alias("c"))
+        classes = rows.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("copies")).alias("k")
+        classes = classes.join(ids.alias("i"), F.expr("k.id <=> i.id")).select("k.*", (F.col("c") == 1).alias("once"))
+        classes = work.keep(classes, "classes")
+        postings = work.keep(self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count), "h long, tag int, key long"), "postings")
+        # keys of one set only lead nowhere; counted with partial sums where the postings lie
+        shared = work.keep(postings.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c"), "shared")
+        met = work.keep(postings.join(shared, "key").select("key", "h", "tag", "c").distinct(), "met")
+        work.forget(postings, shared)
         # Each class leaves out its longest lists as far as its allowance reaches.
         spent = F.sum(1 + (F.col("key") % 2 != 0).cast("int")).over(Window.partitionBy("h", "tag").orderBy(F.desc("c"), "key").rowsBetween(Window.unboundedPreceding, 0))
-        held = work.keep(met.withColumn("spent", spent).where(F.col("spent") > F.col("tag") % _SLOT).select("key", "h", "c"), "held")
-        comp = self._close(held.select("key", "h"), classes)
+        held = work.keep(met.withColumn("spent", spent).where(F.col("spent") > F.col("tag") % _SLOT).select("key", "h"), "held")
+        work.forget(met)
+        self.result = (rows,)
+        comp = self._close(held, classes, sketches)
         named = classes.join(comp, classes.h == comp.node, "left").select("h", "id", "copies", F.coalesce("component", "h").alias("component"))
         named = work.keep(named, "named")
         least = work.keep(named.groupBy("component").agg(F.min("id").alias("component_id")), "least")
         of_class = work.keep(named.join(least, "component").select("h", "component_id", "copies"), "of_class")
+        work.keep_only(rows, of_class)
         out = rows.select("id", "n", "h").join(of_class, "h", "left")
         own = F.col("n") == 0
         return out.select("id", F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"))
 
 
+
 def jaccard_components(docs: DataFrame, work: Workspace, **options) -> DataFrame:
     return JaccardJoin(docs, work, **options).run()
