@@ -32,10 +32,10 @@ def outer_join_3way(spark, d):
 
 
 @query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.quality, d.lang, CASE WHEN l.doc_id IS NULL THEN 'd' WHEN d.doc_id IS NULL THEN 'l' ELSE 'dl' END AS tags
-FROM labels l FULL JOIN (SELECT * FROM documents WHERE lang <> 'en') d ON l.doc_id = d.doc_id""")
+FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id""")
 def tagged_full_outer_join(spark, d):
     """All values of a key with the tags of the inputs that hold it."""
-    docs = read(spark, d, "documents").where("lang <> 'en'").select("doc_id", "lang", F.lit(True).alias("in_d"))
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.lit(True).alias("in_d"))
     j = read(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("in_l")).join(docs, "doc_id", "full_outer")
     return j.select("doc_id", "quality", "lang", F.when(F.col("in_l").isNull(), "d").when(F.col("in_d").isNull(), "l").otherwise("dl").alias("tags"))
 

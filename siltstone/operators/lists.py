@@ -94,19 +94,10 @@ def legacy_bundles(spark, d):
     return g.join(c, "root").where("length(url) < 4097 and ok > 0 and flags & 2 = 0 and not (urls > 100000 and ok < 3)").select("url", "flags")
 
 
-@query("""WITH f AS (SELECT DISTINCT root, url || CASE WHEN fetch_id % 2 = 0 THEN '/feed' ELSE '/a/feed' END AS feed FROM fetches WHERE host LIKE 'h1_.%' AND url LIKE '%/p7'),
-x AS (SELECT root, feed, length(feed) - length(replace(feed, '/', '')) AS depth FROM f), m AS (SELECT root, depth, min(depth) OVER (PARTITION BY root) AS least, feed FROM x)
-SELECT root, feed FROM m WHERE depth = least AND root IN (SELECT root FROM m WHERE depth = least GROUP BY root HAVING count(*) <= 5)""")
+@query("""WITH f AS (SELECT DISTINCT host, url || CASE WHEN fetch_id % 2 = 0 THEN '/feed' ELSE '/a/feed' END AS feed FROM fetches WHERE kind = 'purchase'),
+x AS (SELECT host, feed, length(feed) - length(replace(feed, '/', '')) AS depth FROM f), m AS (SELECT host, depth, min(depth) OVER (PARTITION BY host) AS least, feed FROM x)
+SELECT host, feed FROM m WHERE depth = least AND host IN (SELECT host FROM m WHERE depth = least GROUP BY host HAVING count(*) <= 5)""")
 def feed_discovery(spark, d):
-    """Feeds of the shallowest level of a host, if they are five at most."""
-    f = view(spark, d, "fetches").where("host like 'h1_.%' and url like '%/p7'").select("root", F.concat("url", F.when(F.col("fetch_id") % 2 == 0, "/feed").otherwise("/a/feed")).alias("feed")).distinct()
-    x = f.withColumn("depth", F.length("feed") - F.length(F.replace("feed", F.lit("/"), F.lit(""))))
-    level = x.groupBy("root", "depth").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("depth", "n")).alias("m")).where("m.n <= 5").select("root", F.col("m.depth").alias("depth"))
-    return x.join(level, ["root", "depth"]).select("root", "feed")
-
-
-@query()
-def feed_discovery_all(spark, d):
     """Feeds of the shallowest level of each host, if they are five at most; purchases stand for fetches of feeds."""
     f = view(spark, d, "fetches").where("kind = 'purchase'").select("host", F.concat("url", F.when(F.col("fetch_id") % 2 == 0, "/feed").otherwise("/a/feed")).alias("feed")).distinct()
     x = f.withColumn("depth", F.length("feed") - F.length(F.replace("feed", F.lit("/"), F.lit(""))))

@@ -72,7 +72,7 @@ def test_near_copies_count(spark):
 
 
 def test_hamming_pairs_of_all_orders(spark):
-    found = [tuple(r) for r in catalog.queries()["hamming_pairs_64"](spark, SF).collect()]
+    found = [tuple(r) for r in catalog.queries()["hamming_pairs"](spark, SF).collect()]
     h = "xxhash64(o_custkey) ^ shiftleft(1L, cast(o_orderkey % 64 as int))"
     hashes = sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").selectExpr(h).distinct().collect())
     bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
@@ -81,7 +81,7 @@ def test_hamming_pairs_of_all_orders(spark):
 
 
 def test_feeds_of_all_hosts(spark):
-    found = sorted(tuple(r) for r in catalog.queries()["feed_discovery_all"](spark, SF).collect())
+    found = sorted(tuple(r) for r in catalog.queries()["feed_discovery"](spark, SF).collect())
     hosts = {}
     for r in spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").select("event_id", "user_id").collect():
         host = f"{'www.' if r.user_id % 3 == 0 else ''}h{r.user_id}.site{r.user_id % 12}.com"
