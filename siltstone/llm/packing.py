@@ -30,12 +30,24 @@ PARTS = 64
 PLAN_BROADCAST_ROWS = 200_000
 _GAP = re.compile("[ \\n\\t\\r]+")
 #: White space of ``str.split`` that stays inside a word here: the tokenizer's own rules apply to it.
-_ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: The vocabulary's pattern of pre-tokens, and what it finds in lower-cased ASCII without white space.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+#: How byte-level vocabularies show bytes: printable ones as themselves, the others by characters from U+0100 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def split(text: str) -> list[str]:
+    """Words between spaces, tabs, line feeds and carriage returns."""
+    odd = any(c in text for c in _ODD_ASCII) or (not text.isascii() and _ODD_SPACE.search(text))
+    return [w for w in _GAP.split(text) if w] if odd else text.split()
+
+
 class WordTokenizer:
     """ids of a vocabulary that never joins text across white space, encoded once per distinct word.
 
@@ -47,37 +59,67 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenize = self.model.model.tokenize
+        self.ends = {c: self._part(c) for c in ".,;:!?"}
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.plain = json.dumps(PRE_TOKENS).encode() in self.model.pre_tokenizer.__getstate__() and self.model.encode("A", add_special_tokens=False).ids == self._ascii("a")
-
-    def _ascii(self, word: str) -> list[int]:
-        return [t.id for part in _ASCII_PRE_TOKEN.findall(word.lower()) for t in self.model.model.tokenize(part)]
+        known = json.dumps(PRE_TOKENS).encode() in self.model.pre_tokenizer.__getstate__() and all(sum(not c.isalpha() for c in x) > 1 for x in self.special)
+        self.plain = known and all(array("I", self.model.encode(w, add_special_tokens=False).ids).tobytes() == self._short(w) for w in ("A", "ÉßŒñ", "It's,", "Ab."))
+
+    def _part(self, part: str) -> bytes:
+        """A lower-cased pre-token's ids, by the characters that show its bytes."""
+        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
+
+    def _short(self, word: str) -> bytes | None:
+        """ids of a word of letters below U+0180 or of printable ASCII; None for others, which take the tokenizer's whole way."""
+        if word.isascii():
+            if word.isalpha():
+                return self._part(word.lower())
+            if word[-1] in self.ends and word[:-1].isalpha():
+                return self._part(word[:-1].lower()) + self.ends[word[-1]]
+            if not word.isprintable() or any(x in word for x in self.special):
+                return None
+            return b"".join(map(self._part, _ASCII_PRE_TOKEN.findall(word.lower())))
+        if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+            return self._part(word.lower().encode().decode("latin-1").translate(_SHOWN))
+        return None
 
-    def learn(self, words: set[str]) -> None:
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        known, older, rest = self.known, self.older, []
-        for w in words - known.keys():
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif self.plain and w.isascii() and w.isprintable() and not any(x in w for x in self.special):
-                known[w] = array("I", self._ascii(w)).tobytes()
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 128):
-            part = rest[at : at + 128]
+        known, older, short = self.known, self.older, self._short
+        found, rest = [], []
+        for text in texts:
+            words = split(text) if text else []
+            ids = list(map(known.get, words))
+            at = 0
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at)
+                w = words[at]
+                x = known.get(w) or older.get(w) or (short(w) if self.plain else None)
+                if x is None:
+                    rest.append((ids, at, w))
+                else:
+                    ids[at] = known[w] = x
+                at += 1
+            found.append(ids)
+        if rest:
+            known.update(self._whole({w for _, _, w in rest}))
+            for ids, i, w in rest:
+                ids[i] = known[w]
+        return [b"".join(ids) for ids in found]
+
+    def _whole(self, words: set[str]) -> dict[str, bytes]:
+        """Words' ids by all of the tokenizer's steps."""
+        found, listed = {}, sorted(words)
+        for at in range(0, len(listed), 128):
+            part = listed[at : at + 128]
             ids: list[list[int]] = [[] for _ in part]
             e = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
             for i, w in zip(e.ids, e.word_ids, strict=True):
                 ids[w].append(i)
-            known.update((w, array("I", i).tobytes()) for w, i in zip(part, ids, strict=True))
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [(_GAP.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in split]
+            found.update((w, array("I", i).tobytes()) for w, i in zip(part, ids, strict=True))
+        return found
 
 
 @lru_cache(maxsize=1)
