@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
-#: Public suffixes of more than one label that the synthetic and test hosts use.
-TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "ne.jp", "com.br", "co.in", "co.nz"]
+#: Country domains below which these labels are public suffixes, such as co.uk and com.au.
+SECOND_LEVEL_COUNTRIES = "ae ar at au bd bo br ci cn co cr cy do ec eg fj gh gr gt hk hn hu id il im in iq je jm jo jp ke kh kr kw lb lk ly ma mm mo mt mx my na nf ng ni np nz om pa pe pg ph pk pl pr ps pt py qa ro rs ru sa sb sg sv sz th tn tr tt tw tz ua ug uk uy uz ve vi vn ye za zm zw".split()
+SECOND_LEVEL_LABELS = "ac co com edu go gob gov govt mil ne net nhs nom or org plc sch school web".split()
 #: Suffixes below which every label is a suffix, and names excepted from that.
 WILDCARD_SUFFIXES, EXCEPTIONS = ["ck", "er"], ["www.ck"]
 #: Session parameters removed from query strings and paths.
@@ -29,6 +30,11 @@ def _last(labels: Column, n: int) -> Column:
     return F.array_join(F.slice(labels, -n, n), ".")
 
 
+def _two_labels(labels: Column) -> Column:
+    """Whether a name ends in a public suffix of two labels."""
+    return (F.size(labels) >= 2) & F.element_at(labels, -1).isin(SECOND_LEVEL_COUNTRIES) & F.get(labels, F.size(labels) - 2).isin(SECOND_LEVEL_LABELS)
+
+
 def root_domain(h: Column) -> Column:
     """The registrable domain: an address stays itself; a bare suffix or invalid name gives null."""
     labels = F.split(h, r"\.")
@@ -39,7 +45,7 @@ def root_domain(h: Column) -> Column:
         F.when(h.rlike(IPV4), h)
         .when(~F.coalesce(h.rlike(r"^[a-z0-9_-]+(\.[a-z0-9_-]+)+$"), F.lit(False)), None)
         .when(two.isin(EXCEPTIONS), two)
-        .when(two.isin(TWO_LABEL_SUFFIXES) | one.isin(WILDCARD_SUFFIXES), three)
+        .when(_two_labels(labels) | one.isin(WILDCARD_SUFFIXES), three)
         .when(one.rlike("^[a-z]{2,}$"), two)
     )
 
@@ -48,7 +54,7 @@ def tld(h: Column) -> Column:
     """The public suffix; an address gives ``inaddr-arpa.arpa``."""
     labels = F.split(h, r"\.")
     two, one = F.when(F.size(labels) >= 2, _last(labels, 2)), F.element_at(labels, -1)
-    wide = two.isin(TWO_LABEL_SUFFIXES) | (one.isin(WILDCARD_SUFFIXES) & ~two.isin(EXCEPTIONS))
+    wide = _two_labels(labels) | (one.isin(WILDCARD_SUFFIXES) & ~two.isin(EXCEPTIONS))
     return F.when(h.rlike(IPV4), F.lit("inaddr-arpa.arpa")).when(F.coalesce(wide, F.lit(False)), two).otherwise(one)
 
 
