@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import time
 import zlib
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import html_extract, license_texts, packing, pii, toxicity
+from siltstone.llm import html_extract, jaccard_join, license_texts, packing, pii, toxicity
 from siltstone.llm.common import Workspace, WordHasher, shingle_set
 from siltstone.llm.components import connected_components
 from siltstone.llm.decontaminate import PositionalIndex, decontaminate, phrases
@@ -61,20 +62,45 @@ def test_jaccard_join_brute_force(spark, work):
                 v[rng.randrange(len(v))] = f"n{rng.randrange(5)}"
             texts.append(" ".join(v))
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, texts), work, n=3, percent=80).collect()}
+    assert got == brute_components(texts, 3, 80)
+
+
+def brute_components(texts, n, percent):
+    """(size, smallest linked index) of each text, by all pairs."""
     h = WordHasher()
-    sets = [set(shingle_set(h, t, 3).tolist()) for t in texts]
-    parent = list(range(len(texts)))
+    sets = [set(shingle_set(h, t, n).tolist()) for t in texts]
+    top = list(range(len(texts)))
 
     def find(i):
-        while parent[i] != i:
-            i = parent[i]
+        while top[i] != i:
+            i = top[i]
         return i
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
             a, b = sorted((find(i), find(j)))
-            parent[b] = a
-    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+            top[b] = a
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("local", "edits"), [(4, 9), (256, 14)])
+def test_jaccard_join_of_a_large_family(spark, work, monkeypatch, local, edits):
+    """Near copies around the threshold, a passage that many texts share, and repeated texts; rounds of hubs and groups in a task."""
+    monkeypatch.setattr(jaccard_join, "LOCAL", local)
+    monkeypatch.setattr(jaccard_join, "WIDE", 2 * local)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    monkeypatch.setattr(jaccard_join, "GUIDES", 4)
+    rng = random.Random(local)
+    first, passage, texts = [f"w{i}" for i in range(140)], [f"p{i}" for i in range(60)], ["", None]
+    for _ in range(60):
+        v = list(first)
+        for _ in range(rng.randrange(edits)):
+            at = rng.randrange(len(v))
+            v[at : at + 1] = rng.choice(([], [f"n{rng.randrange(3000)}"], [v[at], "also"]))
+        texts += [" ".join(v)] * rng.choice((1, 1, 2))
+    texts += [" ".join([*(f"u{i}-{j}" for j in range(rng.randrange(8, 40))), *passage]) for i in range(40)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, texts), work, n=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)
 
 
 def test_empty_tables(spark, work):
@@ -133,7 +159,7 @@ def test_word_tokenizer_equals_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 8)  # words go to the older generation, and out, between batches
     own = packing.WordTokenizer(public.path("word_bpe_49k.json"))
     assert own.plain
-    texts = ["It's I'LL 'SX can't''s, 12,345 x=y!!", "<|startoftext|> A<|endoftext|>b <|STARTOFTEXT|>", "a\x0bb\x1cc\x1fd\x85e\xa0f g\u200bh", "Σίσυφος ΟΔΟΣ İstanbul ﬁ ½ ²3 १२", "\x00a\x01 \x7f", "a \u0301b e\u0301", "", None, " \n a\t", "It's a long word: " + "ab" * 2000]
+    texts = ["It's I'LL 'SX can't''s, 12,345 x=y!!", "<|startoftext|> A<|endoftext|>b <|STARTOFTEXT|>", "a\x0bb\x1cc\x1fd\x85e\xa0f g\u200bh", "Σίσυφος ΟΔΟΣ İstanbul ﬁ ½ ²3 १२", "\x00a\x01 \x7f", "ÀÉÎ Straße ŒUVRE œuvre. Žluť ŉa Kelvin ªº Ǆ ſtat İ, ı! A. I.! 'S. x's,", "a \u0301b e\u0301", "", None, " \n a\t", "It's a long word: " + "ab" * 2000]
     for _ in range(3):
         for at in range(0, len(texts), 2):
             part = texts[at : at + 2]
@@ -205,10 +231,26 @@ def test_pii():
     assert kinds == ["email", "ip", "phone", "card", "secret"]
 
 
+def test_pii_examples(spark, work):
+    texts = ["Mr Smith", "Frau Müller", "Dr. Wei Zhang", "José Pérez", "Иван Петров", "用户@example.com", "ø@ø.com", "Dr. Li Zhang"]
+    got = [r.text for r in pii.replace_entities(docs(spark, texts), work, ["doc_id"], secret="s").orderBy("doc_id").collect()]
+    assert got[6] != texts[6]
+    for was, now in zip(texts[:6], got[:6], strict=True):
+        assert len({*was.replace("@", " ").split()} & {*now.replace("@", " ").split()} - {"Mr", "Frau", "Dr.", "example.com"}) == 0, (was, now)
+    assert got[2].split()[0] == "Dr." and got[5][0] >= "一" and got[6].endswith(".com")
+    assert pii.identity("person", texts[2]) != pii.identity("person", texts[7])
+    key = b"k" * 32
+    for n in range(2, 30):  # a bijection without a fixed point
+        images = [pii.permute([i], [n], key, "t")[0] for i in range(n)]
+        assert sorted(images) == list(range(n)) and all(a != b for a, b in enumerate(images))
+    assert {tuple(pii.permute([a, b], [3, 5], key, "t")) for a in range(3) for b in range(5)} == {(a, b) for a in range(3) for b in range(5)}
+    assert pii.identity("secret", "ABCDEF12") != pii.identity("secret", "abcdef12")
+
+
 def test_pii_mentions_formats_and_scripts(spark, work):
     key = b"k" * 32
     text = "Dr. Anna Schmidt met Hans Schmidt. Mrs Schmidt left; Anna wrote. Mr Schmidt and Schmidt stayed. Dr. Miller and Ms J. Weber-Klein too. Иван Петров, потом Петров."
-    got = pii.replace_entities(docs(spark, [text]), work, ["doc_id"]).first().text
+    got = pii.replace_entities(docs(spark, [text]), work, ["doc_id"], secret="s").first().text
     for name in ("Anna", "Hans", "Schmidt", "Miller", "Weber", "Klein", "Иван", "Петров"):
         assert name not in got or name in pii.GIVEN["f"] + pii.GIVEN["m"] + pii.NAMES["m-cyrillic"], (name, got)
     w = got.replace(".", "").replace(";", "").replace(",", "").split()
@@ -224,8 +266,15 @@ def test_pii_mentions_formats_and_scripts(spark, work):
 
 def test_extract():
     page = '<html><head><title>t</title></head><body><nav><li>m</nav><article><h1>A &amp; B</h1><p>x <b>y<br><p>z<script>"</p>"</script><div class="ad">no</div></article><footer>f'
-    assert html_extract.extract(page, None) == "A & B\nx y\nz"
-    assert html_extract.extract(None, None) == html_extract.extract("", "/html") == ""
+    assert html_extract.extract(page) == "A & B\nx y\nz"
+    assert html_extract.extract(None) == html_extract.extract("") == ""
+
+
+def test_deep_pages_take_linear_time():
+    start = time.process_time()
+    for page in ("<html><body>" + "<span>x" * 100_000, "<p>a" * 50_000, "<p><article>" + "<i>" * 60_000 + "</b></p><p>t" * 20_000):
+        html_extract.extract(page)
+    assert time.process_time() - start < 20
 
 
 def _pages(spark, work, rows):
@@ -258,6 +307,19 @@ def test_repeated_text_inside_the_slot(spark, work):
     assert [got[21], got[22]] == [whole.format(body(0)), whole.format(body(1))]
 
 
+def test_planted_template(spark, work):
+    """Words of the template inside the article go, those of one page stay; the same with every page twice."""
+    page = lambda i: f"<html><body><div class=top>Site</div><article><div class=w>Read it aloud</div><p>story {i} tells of things that happened in year {i}</p><div class=z>Thanks for reading</div></article><footer>f</footer></body></html>"
+    rows = [("a", page(i)) for i in range(12)]
+    want = {i: f"story {i} tells of things that happened in year {i}" for i in range(12)}
+    assert _pages(spark, work, rows) == want
+    assert _pages(spark, work, rows + rows) == want | {12 + i: t for i, t in want.items()}
+    nested = html_extract.places([1, 2, 9, 3, 4, 9, 5], {1: 7, 5: 7, 2: 8, 4: 8, 3: 6})
+    assert nested == {7: ((1, 5), 0, 0), 8: ((2, 4), 7, 1), 6: ((3,), 8, 1)}
+    crossed = html_extract.places([1, 2, 3, 4, 5], {1: 7, 3: 7, 5: 7, 2: 8, 4: 8})
+    assert crossed[8] == ((2, 4), 7, -1)
+
+
 def test_toxicity():
     rng = random.Random(2)
     words = [a + b for a in ("ta", "re", "mi", "so") for b in ("lo", "ne", "ka", "vu")]
@@ -288,6 +350,6 @@ def test_features_of_long_tokens():
 
 
 def test_replaces_in_table(spark, work):
-    got = pii.replace_entities(docs(spark, ["to a@b.com", None, "", "to A@B.com"]), work, ["doc_id"]).orderBy("doc_id").collect()
+    got = pii.replace_entities(docs(spark, ["to a@b.com", None, "", "to A@B.com"]), work, ["doc_id"], secret="s").orderBy("doc_id").collect()
     assert got[1].text is None and got[2].text == "" and got[0].text != "to a@b.com"
     assert got[0].text.lower() == got[3].text.lower() and F is not None
