@@ -9,6 +9,7 @@ one machine, as in tests, gets a temporary folder; on a cluster that is an error
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -51,7 +52,7 @@ class Workspace:
         """Write ``df`` and return the written table; its plan starts there."""
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small blocks, as tasks write beside Python workers
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._siltstone_path = path
         self.paths.add(path)
@@ -69,6 +70,11 @@ class Workspace:
             self.paths.discard(path)
             self._delete(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of queries that are over: it does so once neither Python nor the driver's JVM refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         self._delete(self.root)
 

@@ -540,6 +540,7 @@ class JaccardJoin:
             groups = self._compared(large, sets, True).select(F.xxhash64("hub", "x").alias("key"), "h", "w", "first", "side")
             groups = work.keep(groups, "groups")
             work.keep_only(classes, sketches, sets, comp, groups, *self.result)
+            work.release()
             open_rows = self._mixed(groups, comp)
         return comp
 
@@ -559,8 +560,10 @@ class JaccardJoin:
         postings = work.keep(self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count), "h long, tag int, key long"), "postings")
         # keys of one set only lead nowhere; counted with partial sums where the postings lie
         shared = work.keep(postings.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c"), "shared")
+        work.release()
         met = work.keep(postings.join(shared, "key").select("key", "h", "tag", "c").distinct(), "met")
         work.forget(postings, shared)
+        work.release()
         # Each class leaves out its longest lists as far as its allowance reaches.
         spent = F.sum(1 + (F.col("key") % 2 != 0).cast("int")).over(Window.partitionBy("h", "tag").orderBy(F.desc("c"), "key").rowsBetween(Window.unboundedPreceding, 0))
         held = work.keep(met.withColumn("spent", spent).where(F.col("spent") > F.col("tag") % _SLOT).select("key", "h"), "held")
