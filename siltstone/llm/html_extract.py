@@ -361,20 +361,20 @@ def _slots(batches):
 
 
 def _blocks(batches):
-    """Rows (..., slots, texts, html) -> (..., slot, blocks, kept, left): the slot's blocks, those that aren't the template's, and their characters."""
+    """Rows (..., slots, texts, html) -> (..., slot, blocks, fixed): the slot's blocks, and which of them, from 0, are the template's."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             n = part.num_columns
-            slots, blocks, rests = [], [], []
+            slots, blocks, fixed = [], [], []
             for own, texts, source in zip(*(part.column(i).to_pylist() for i in (n - 3, n - 2, n - 1)), strict=True):
                 slot, found = blocks_of(source, own or [])
-                fixed = set(texts or ())
+                known = set(texts or ())
                 slots.append(slot)
-                blocks.append("\n".join(t for _, t in found))
-                rests.append("\n".join(t for token, t in found if token not in fixed))
-            made = [pa.array(slots, pa.int64()), pa.array(blocks, pa.string()), pa.array(rests, pa.string())]
-            yield pa.record_batch([*part.columns[: n - 3], *made], names=[*part.schema.names[: n - 3], "slot", "whole", "rest"])
+                blocks.append([t for _, t in found])
+                fixed.append([i for i, (token, _) in enumerate(found) if token in known])
+            made = [pa.array(slots, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.int32()))]
+            yield pa.record_batch([*part.columns[: n - 3], *made], names=[*part.schema.names[: n - 3], "slot", "blocks", "fixed"])
 
 
 def _joined(rows: DataFrame, small: DataFrame, on, most: int, how: str = "left") -> DataFrame:
@@ -441,10 +441,12 @@ def extract_pages(pages: DataFrame, work: Workspace, id_col: str = "page_id", ur
     weighed = _joined(read, twice, ["host", "page"], BROADCAST_PAGES).select("host", "page", (1 / F.coalesce("n", F.lit(1))).alias("weight"), "html")
     found = Templates(weighed, work).slots()
     rows = _joined(own, found, "host", BROADCAST_HOSTS).select("id", "url", "host", "slots", "texts", "html")
-    out = rows.mapInArrow(_blocks, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, slot long, whole string, rest string")
+    out = rows.mapInArrow(_blocks, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, slot long, blocks array<string>, fixed array<int>")
     out = work.keep(out, "blocks")
-    many = out.where("rest <> whole").groupBy("host", "slot").agg(F.sum(F.length("whole")).alias("a"), F.sum(F.length("rest")).alias("b"))
+    whole = F.array_join("blocks", "\n")
+    rest = F.array_join(F.filter("blocks", lambda _, i: ~F.array_contains("fixed", i)), "\n")
+    many = out.where("size(fixed) > 0").groupBy("host", "slot").agg(F.sum(F.length(whole)).alias("a"), F.sum(F.length(rest)).alias("b"))
     copies = work.keep(many.where("2 * b < a").select("host", F.coalesce("slot", F.lit(0)).alias("slot"), F.lit(True).alias("copies")), "copies")
     out = _joined(out.withColumn("slot", F.coalesce("slot", F.lit(0))), copies, ["host", "slot"], BROADCAST_HOSTS)
-    text = F.when(F.col("copies").isNotNull() | (F.col("rest") == ""), F.col("whole")).otherwise(F.col("rest"))
+    text = F.when(F.col("copies").isNotNull() | (F.size("fixed") == 0) | (rest == ""), whole).otherwise(rest)
     return out.select("id", "url", text.alias("text")).select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
