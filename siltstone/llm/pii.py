@@ -40,20 +40,30 @@ _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŸŒА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", "a-zß-öø-ÿœ
 _SURNAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)*"
 _TITLE = r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[ ]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[^\W_](?:[^\W_]|-)*(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}(?![\w-]))"
-    r"|(?P<secret>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?![A-Za-z])[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/](?:[A-Za-z0-9_\-+/.=~!@#$%^&*]{6,})[A-Za-z0-9_\-+/=~!@#$%^&*]))"
-    r"|(?P<bare>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\w.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\w]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
-    rf"|(?P<person>(?:{_TITLE})?(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")[ ](?:[{_UPPER}]\.[ ])?{_SURNAME}(?!\w)|{_TITLE}(?:[{_UPPER}]\.[ ])*{_SURNAME}(?:[ ](?!(?:Sr|Jr)\b){_SURNAME})?(?!\w))"
-)
+_KINDS = [
+    r"(?P<email>(?<![\w.+-])[\w+-]++(?:\.[\w+-]++)*+@[^\W_](?:[^\W_]|-)*(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}(?![\w-]))",
+    r"(?P<secret>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?![A-Za-z])[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_\-+/](?:[A-Za-z0-9_\-+/.=~!@#$%^&*]{6,})[A-Za-z0-9_\-+/=~!@#$%^&*]))",
+    r"(?P<bare>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9]))",
+    r"(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)",
+    r"(?P<ip>(?<![\w.])" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\w]|\.\d))",
+    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\)[ ]?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))",
+    r"(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))",
+    rf"(?P<person>(?=[{_UPPER}гκ])(?:(?:{_TITLE})?(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")[ ](?:[{_UPPER}]\.[ ])?{_SURNAME}(?!\w)|{_TITLE}(?:[{_UPPER}]\.[ ])*{_SURNAME}(?:[ ](?!(?:Sr|Jr)\b){_SURNAME})?(?!\w)))",
+]
+#: What a text holds that has a secret; without one and without an at sign entities start at a digit, a plus, a bracket or a capital.
+_SECRET = re.compile(r"(?i:token|secret|passw|key)|sk-|gh[pousr]_|AIza|AKIA|xox|eyJ")
+
+
+@lru_cache(maxsize=4)
+def _pattern(email: bool, secret: bool) -> re.Pattern:
+    """All kinds in order, without those that a text cannot hold."""
+    kinds = "|".join(k for k in _KINDS if (email or "(?P<email>" not in k) and (secret or not re.search(r"\(\?P<(?:secret|bare)>", k)))
+    return re.compile(kinds if email or secret else rf"(?=[\d+({_UPPER}гκ])(?:{kinds})")
+
+
 #: Prefixes of bare secrets keep their form.
 _PREFIX = re.compile(r"AKIA|AIza|gh[pousr]_|sk-|xox[abprs]-|eyJ")
-_MAY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|sk-|gh[pousr]_|AIza|AKIA|xox|eyJ|" + "|".join([*sorted(_GENDER), rf"(?<!\w)(?:{'|'.join(map(re.escape, TITLES))})\.? "]))
 #: Country calling codes of one and two digits; others have three.
 _CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
@@ -204,9 +214,11 @@ def identity(kind: str, text: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each entity, in order."""
-    if not _MAY.search(text):
-        return []
-    return [(*(m.span("value") if m["secret"] else m.span()), "secret" if m["secret"] or m["bare"] else m.lastgroup) for m in PATTERN.finditer(text)]
+    found = []
+    for m in _pattern("@" in text, bool(_SECRET.search(text))).finditer(text):
+        kind = m.lastgroup
+        found.append((*m.span("value"), "secret") if kind in ("secret", "value") else (*m.span(), "secret" if kind == "bare" else kind))
+    return found
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
