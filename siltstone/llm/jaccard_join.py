@@ -56,6 +56,8 @@ WIDE = 4096
 #: Most members of a group that one task closes, and shingles that it counts at a time.
 LOCAL, COLUMNS = 512, 1 << 12
 _SLOT = 1 << 20
+#: Postings that a task deals out at a time, postings in a bucket or so, and bytes of a posting.
+DEALT, BUCKET, _POSTING = 1 << 19, 500_000, 20
 
 
 @dataclass(frozen=True)
@@ -176,15 +178,29 @@ def _digests(n: int):
     return run
 
 
-def _postings(n: int, percent: int, docs: int):
-    """Rows (h, tag, key) of texts: a set's keys in its bands, once per task however often the set occurs there."""
-    kind = pa.schema([("h", pa.int64()), ("tag", pa.int32()), ("key", pa.int64())])
+def _postings(n: int, percent: int, docs: int, buckets: int):
+    """Rows (bucket, rows) of texts: the postings (key, h, tag) of their sets in all bands, dealt out by key, the three columns of a bucket as bytes one after the other.
+
+    A set is posted once per task, however often it occurs there.
+    """
+    kind = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+
+    def dealt(h, tag, keys):
+        size = list(map(len, keys))
+        key = np.concatenate(keys)
+        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        columns = [x[order] for x in (signed(key), np.repeat(np.array(h, np.int64), size), np.repeat(np.array(tag, np.int32), size))]
+        count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+        end, own = np.cumsum(count), np.flatnonzero(count)
+        rows = [b"".join(c[end[i] - count[i] : end[i]].tobytes() for c in columns) for i in own]
+        return pa.record_batch([pa.array(own, pa.int32()), pa.array(rows, pa.binary())], schema=kind)
 
     def run(batches):
         hasher, bands, seen = WordHasher(), Bands(percent, docs), set()
+        h, tag, keys, held = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                h, tag, keys, size = [], [], [np.zeros(0, np.uint64)], []
                 for text in batch.column(0).slice(at, 64).to_pylist():
                     s = shingle_set(hasher, text, n)
                     own = set_digest(s)
@@ -199,8 +215,46 @@ def _postings(n: int, percent: int, docs: int):
                             h.append(own)
                             tag.append(left + slot * _SLOT)
                             keys.append(found)
-                            size.append(len(found))
-                yield pa.record_batch([pa.array(np.repeat(np.array(h, np.int64), size)), pa.array(np.repeat(np.array(tag, np.int32), size)), pa.array(signed(np.concatenate(keys)))], schema=kind)
+                            held += len(found)
+                if held >= DEALT:
+                    yield dealt(h, tag, keys)
+                    h, tag, keys, held = [], [], [], 0
+        if held:
+            yield dealt(h, tag, keys)
+
+    return run
+
+
+def _met():
+    """Rows (bucket, rows) sorted by bucket, as ``_postings`` gives them: (key, h, tag, c), each once, of the keys of c sets, two or more; other keys lead nowhere."""
+    kind = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("tag", pa.int32()), ("c", pa.int64())])
+
+    def shared(parts):
+        size = [len(p) // _POSTING for p in parts]
+        key, h, tag = (np.concatenate([np.frombuffer(p, t, k, k * at) for p, k in zip(parts, size, strict=True)]) for t, at in ((np.int64, 0), (np.int64, 8), (np.int32, 16)))
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.append(False, same) | np.append(same, False)]
+        key, h, tag = key[order], h[order], tag[order]
+        order = np.lexsort((h, key))
+        key, h, tag = key[order], h[order], tag[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))[: len(key)]
+        key, h, tag = key[once], h[once], tag[once]
+        of, c = np.unique(key, return_inverse=True, return_counts=True)[1:]
+        c = c[of]
+        return pa.record_batch([pa.array(x[c > 1]) for x in (key, h, tag, c)], schema=kind)
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now and parts:
+                    yield shared(parts)
+                    parts = []
+                now = bucket
+                parts.append(rows.as_buffer().to_pybytes())
+        if parts:
+            yield shared(parts)
 
     return run
 
@@ -557,12 +611,11 @@ class JaccardJoin:
         classes = rows.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("copies")).alias("k")
         classes = classes.join(ids.alias("i"), F.expr("k.id <=> i.id")).select("k.*", (F.col("c") == 1).alias("once"))
         classes = work.keep(classes, "classes")
-        postings = work.keep(self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count), "h long, tag int, key long"), "postings")
-        # keys of one set only lead nowhere; counted with partial sums where the postings lie
-        shared = work.keep(postings.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c"), "shared")
-        work.release()
-        met = work.keep(postings.join(shared, "key").select("key", "h", "tag", "c").distinct(), "met")
-        work.forget(postings, shared)
+        # postings move once, as bytes, and are never written as a table; a set has no more of them than about its shingles
+        buckets = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // (2 * BUCKET)
+        postings = self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count, buckets), "bucket int, rows binary")
+        postings = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        met = work.keep(postings.mapInArrow(_met(), "key long, h long, tag int, c long"), "met")
         work.release()
         # Each class leaves out its longest lists as far as its allowance reaches.
         spent = F.sum(1 + (F.col("key") % 2 != 0).cast("int")).over(Window.partitionBy("h", "tag").orderBy(F.desc("c"), "key").rowsBetween(Window.unboundedPreceding, 0))

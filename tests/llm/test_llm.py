@@ -103,6 +103,46 @@ def test_jaccard_join_of_a_large_family(spark, work, monkeypatch, local, edits):
     assert got == brute_components(texts, 5, 80)
 
 
+def test_jaccard_join_writes_no_lonely_postings(spark, monkeypatch):
+    """Postings of keys that only one set has are never a table of their own; they were, and moved twice."""
+    size, keep = {}, Workspace.keep
+
+    def counted(self, df, name="t"):
+        size[name] = (kept := keep(self, df, name)).count()
+        return kept
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    texts = [" ".join(f"d{i}w{j}" for j in range(300)) for i in range(20)]
+    got = jaccard_components(docs(spark, [*texts, texts[3] + " more"]), Workspace(spark, "lonely"), n=5, percent=80).collect()
+    assert {r.id: r.component_id for r in got} == {i: i if i < 20 else 3 for i in range(21)}
+    assert max(size.values()) < 1000  # two of the sets meet under 214 keys
+
+
+def test_postings_dealt_and_met(monkeypatch):
+    pa = jaccard_join.pa
+    monkeypatch.setattr(jaccard_join, "DEALT", 100)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") + str(rng.randrange(9)) for _ in range(40)) for _ in range(200)]
+    rows = {}
+    for part in (texts[:120], texts[100:], []):  # twenty sets are posted by two tasks
+        for b in jaccard_join._postings(3, 50, 200, 7)([pa.record_batch([pa.array(part, pa.string())], names=["text"])]):
+            for bucket, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.setdefault(bucket, []).append(x)
+    assert len(rows) > 3
+    flat = sorted((bucket, x) for bucket, xs in rows.items() for x in xs)
+    batches = [pa.record_batch([pa.array([r[i] for r in flat[at : at + 3]], t) for i, t in enumerate((pa.int32(), pa.binary()))], names=["bucket", "rows"]) for at in range(0, len(flat), 3)]
+    got = [r for b in jaccard_join._met()(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    h, bands, want = WordHasher(), Bands(50, 200), {}
+    for t in texts:
+        s = shingle_set(h, t, 3)
+        for slot, k in enumerate(bands.of(len(s))):
+            keys, left = jaccard_join.index_keys(s, k, bands.allocation(k))
+            for key in jaccard_join.signed(keys).tolist():
+                want.setdefault(key, set()).add((jaccard_join.set_digest(s), left + slot * jaccard_join._SLOT))
+    assert sorted(got) == sorted((key, *x, len(xs)) for key, xs in want.items() if len(xs) > 1 for x in xs)
+    assert list(jaccard_join._met()([])) == []
+
+
 def test_empty_tables(spark, work):
     none = docs(spark, ["x"]).where("false")
     assert jaccard_components(none, work).count() == 0
