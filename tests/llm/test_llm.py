@@ -376,6 +376,33 @@ def test_toxicity():
     assert m.logit(m.table(["x"])[:0]) == m.bias
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """More than 2,000 rows of a class count, and toxic words that only stand in texts of more than 20,000 characters; the model doesn't depend on how rows are dealt out."""
+    monkeypatch.setattr(toxicity, "PART", 500)
+    seen, started = [], toxicity._started
+    monkeypatch.setattr(toxicity, "_started", lambda x: seen.append(x[-1].tolist()) or started(x))
+    rng = random.Random(4)
+    words = [a + b for a in ("ta", "re", "mi", "so") for b in ("lo", "ne", "ka", "vu")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)), 0) for i in range(3200)]
+    rows += [(4000 + i, "talo rene " * 2100 + "vilegrub " + rng.choice(words), 1) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    models = [toxicity.ToxicityClassifier().fit(d, labels) for d in (docs, docs.repartition(7))]
+    held = [(zlib.crc32(str(i).encode()) // 3) % 4 == 0 for i, _, _ in rows]
+    assert seen == [[sum(y == k and not h for (_, _, y), h in zip(rows, held, strict=True)) for k in (0, 1)]] * 2 and seen[0][0] > 2000
+    a, b = (m.model for m in models)
+    assert (a.embed == b.embed).all() and (a.head == b.head).all() and a.bias == b.bias and (a.cuts == b.cuts).all()
+    got = {r.doc_id: r.score for r in models[0].score(spark.createDataFrame([(1, "talo mika vilegrub sovu"), (2, "talo mika rene sovu")], "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[1] >= 0.7 > got[2]
+
+
+def test_buckets_are_features():
+    words = ["a", "", "毒", "über", "vilegrub", "x" * 40]
+    flat, n = toxicity.buckets(words)
+    at = [0, *itertools.accumulate(n.tolist())]
+    assert [sorted(flat[i:j].tolist()) for i, j in itertools.pairwise(at)] == [sorted(toxicity.features(w)) for w in words]
+
+
 def test_features_of_long_tokens():
     long = "毒" * 30 + "vilegrub" + "字" * 30
     assert set(toxicity.features("vilegrub")[1:]) & set(toxicity.features(long))
