@@ -57,7 +57,7 @@ WIDE = 4096
 LOCAL, COLUMNS = 512, 1 << 12
 _SLOT = 1 << 20
 #: Postings that a task deals out at a time, postings in a bucket or so, and bytes of a posting.
-DEALT, BUCKET, _POSTING = 1 << 19, 500_000, 20
+DEALT, BUCKET, _POSTING = 1 << 18, 250_000, 20
 
 
 @dataclass(frozen=True)
@@ -614,7 +614,7 @@ class JaccardJoin:
         # postings move once, as bytes, and are never written as a table; a set has no more of them than about its shingles
         buckets = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // (2 * BUCKET)
         postings = self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count, buckets), "bucket int, rows binary")
-        postings = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        postings = postings.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")  # a bucket a task; by hash some tasks would get five
         met = work.keep(postings.mapInArrow(_met(), "key long, h long, tag int, c long"), "met")
         work.release()
         # Each class leaves out its longest lists as far as its allowance reaches.
