@@ -44,6 +44,8 @@ CUT = float(np.log(0.7 / 0.3))
 PART, ROUNDS, STEP, STEP_CHARS = 4096, 2, 64, 1 << 21
 #: Steps of a histogram's logit, its largest logit, and the unit in which changes are added.
 STEPS, TOP, UNIT = 256, 40, 1 << 36
+#: Ids for a word of the filter of labelled ids or so, and most words of it (8 bytes each).
+PER_WORD, MOST_WORDS = 4, 1 << 20
 #: Frequent function words that tell languages apart.
 FUNCTION_WORDS = {
     "en": {"the", "and", "of", "to", "that", "was", "with", "for", "are", "this"},
@@ -370,6 +372,23 @@ def _summed(found: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
     return sums.column(0).to_numpy(), np.column_stack([sums.column(i + 1).to_numpy() for i in range(columns)])
 
 
+def _likely(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The ``rows`` with an id of ``known``, and some others: a bit for each id's hash tells, in a filter of bounded size.
+
+    So the join moves few texts without a label. Ids of two types are left to the join.
+    """
+    if rows.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        return rows
+    words = min(MOST_WORDS, 1 << (known.count() // PER_WORD).bit_length())
+    at = f"pmod(xxhash64(doc_id), {64 * words}L)"
+    word, bit = f"cast(shiftright({at}, 6) as int)", f"cast({at} & 63 as int)"
+    found = known.groupBy(F.expr(word).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits")).toArrow()
+    bits = np.zeros(words, np.int64)
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    one = rows.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+    return rows.join(F.broadcast(one), F.expr(f"shiftright(get(bits, {word}), {bit}) & 1 = 1"), "left_semi")
+
+
 CACHE_WORDS = 200_000
 
 
@@ -424,9 +443,12 @@ class ToxicityClassifier:
         work = Workspace(docs.sparkSession, "toxicity")
         # an id with two labels counts as toxic
         known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+        known = work.keep(known, "known")
+        # one plan at all sizes: a join by broadcast would end where labels get many
+        rows = _likely(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), known).join(known.hint("merge"), "doc_id")
         hold = F.floor(F.crc32(F.col("doc_id").cast("string")) / 3) % 4 == 0
         rows = work.keep(rows.select("toxic", "text", hold.alias("hold"), F.xxhash64(F.col("doc_id").cast("string")).alias("of")), "labelled")
+        work.release()
         fit = rows.where("not hold")
         seen, kind = np.zeros((BUCKETS + 1, 2), np.int64), "at long, x0 long, x1 long"
         at, sums = _summed(fit.select(F.lit(0).alias("part"), "toxic", "text").mapInArrow(_tallied(), kind), 2)
@@ -438,6 +460,8 @@ class ToxicityClassifier:
             for _ in range(self.rounds):
                 found = ordered.select("part", "toxic", "text").mapInArrow(_learned(self.model, weight), f"at long, {', '.join(f'x{i} long' for i in range(DIM + 1))}")
                 _mixed(self.model, *_summed(found, DIM + 1))
+                del found
+                work.release()
             at, sums = _summed(rows.where("hold").select("toxic", "text").mapInArrow(_binned(self.model), kind), 2)
             lang = (at + TOP * STEPS) // (4 * TOP * STEPS)
             _calibrate(self.model, np.column_stack([lang, at - lang * 4 * TOP * STEPS, sums]))

@@ -396,6 +396,26 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
     assert got[1] >= 0.7 > got[2]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_few_texts_without_a_label_reach_the_join(spark, monkeypatch, kind):
+    docs = spark.range(20_000).select(F.when(F.col("id") != 7, F.col("id")).cast(kind).alias("doc_id"), F.lit("some text").alias("text"))
+    known = spark.range(0, 22_000, 10).select(F.col("id").cast(kind).alias("doc_id"))
+    for most in (1 << 20, 1):  # where the filter is full, more texts are moved and none is lost
+        monkeypatch.setattr(toxicity, "MOST_WORDS", most)
+        found = {r.doc_id for r in toxicity._likely(docs, known).collect()}
+        assert found >= {r.doc_id for r in known.where("cast(doc_id as long) < 20000").collect()}
+        assert len(found) < 4000 or most == 1
+    assert toxicity._likely(docs.withColumn("doc_id", F.col("doc_id").cast("double")), known).count() == 20_000
+
+
+def test_toxicity_moves_labelled_texts_only(spark, monkeypatch):
+    joined, likely = [], toxicity._likely
+    monkeypatch.setattr(toxicity, "_likely", lambda rows, known: joined.append(likely(rows, known)) or joined[-1])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    toxicity.ToxicityClassifier(1).fit(docs, spark.range(0, 4000, 20).select(F.col("id").alias("doc_id"), (F.col("id") % 40 == 0).cast("int").alias("toxic")))
+    assert 200 <= joined[0].count() < 800
+
+
 def test_buckets_are_features():
     words = ["a", "", "毒", "über", "vilegrub", "x" * 40]
     flat, n = toxicity.buckets(words)
