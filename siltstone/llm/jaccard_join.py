@@ -576,6 +576,7 @@ class JaccardJoin:
             pairs = open_rows.groupBy("hub", "h").agg(F.max("w").alias("w"), F.min("first").alias("first"))
             pairs = work.keep(pairs, "paired")
             pairs = work.keep(pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hub"), "pairs")
+            work.relieve()  # a round is many short queries; heaps grow from one to the next
             near, kin = self._able(pairs, sketches)
             wide = pairs.where(F.col("c") > WIDE).select("hub", "h")
             able = kin.union(wide)
@@ -583,8 +584,10 @@ class JaccardJoin:
             if sets is None:  # later rounds' sets are all members of large groups now
                 some = [near.select("h"), near.select("hub"), able.select("h"), able.where(F.col("c") > LOCAL).select("hub")]
                 sets = self._sets_of(reduce(DataFrame.union, some).distinct(), classes)
+            work.relieve()
             links = self._compared(near.join(pairs, ["hub", "h"]).drop("c"), sets, False).select(F.col("hub").alias("a"), F.col("member").alias("b"))
             comp = self._joined(comp, work.keep(links, "links"))
+            work.relieve()
             named = open_rows.join(comp, F.col("h") == F.col("node"), "left").select("key", "hub", F.coalesce("component", "h").alias("component"))
             still = named.groupBy("key", "hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
             left = open_rows.join(still.select("key"), "key").select("hub", "h").distinct().join(able, ["hub", "h"])
@@ -594,7 +597,7 @@ class JaccardJoin:
             groups = self._compared(large, sets, True).select(F.xxhash64("hub", "x").alias("key"), "h", "w", "first", "side")
             groups = work.keep(groups, "groups")
             work.keep_only(classes, sketches, sets, comp, groups, *self.result)
-            work.release()
+            work.relieve()
             open_rows = self._mixed(groups, comp)
         return comp
 
@@ -616,13 +619,15 @@ class JaccardJoin:
         postings = self.docs.select("text").mapInArrow(_postings(self.n, self.percent, count, buckets), "bucket int, rows binary")
         postings = postings.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")  # a bucket a task; by hash some tasks would get five
         met = work.keep(postings.mapInArrow(_met(), "key long, h long, tag int, c long"), "met")
-        work.release()
+        work.relieve()
         # Each class leaves out its longest lists as far as its allowance reaches.
         spent = F.sum(1 + (F.col("key") % 2 != 0).cast("int")).over(Window.partitionBy("h", "tag").orderBy(F.desc("c"), "key").rowsBetween(Window.unboundedPreceding, 0))
         held = work.keep(met.withColumn("spent", spent).where(F.col("spent") > F.col("tag") % _SLOT).select("key", "h"), "held")
         work.forget(met)
+        work.relieve()
         self.result = (rows,)
         comp = self._close(held, classes, sketches)
+        work.relieve()
         named = classes.join(comp, classes.h == comp.node, "left").select("h", "id", "copies", F.coalesce("component", "h").alias("component"))
         named = work.keep(named, "named")
         least = work.keep(named.groupBy("component").agg(F.min("id").alias("component_id")), "least")

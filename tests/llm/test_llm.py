@@ -118,6 +118,19 @@ def test_jaccard_join_writes_no_lonely_postings(spark, monkeypatch):
     assert max(size.values()) < 1000  # two of the sets meet under 214 keys
 
 
+def test_jaccard_join_gives_heap_back(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    asked = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', cast(sequence(id % 30 * 50, id % 30 * 50 + 40) as array<string>))").alias("text"))
+    work, driver = Workspace(spark, "heap"), []
+    release = work.release
+    work.release = lambda: driver.append(0) or release()
+    before = asked()
+    assert jaccard_components(docs, work).where("component_id <> id % 30").count() == 0
+    # each heap that the driver's collection frees here is one of an executor as well
+    assert asked() - before >= 2 * len(driver) >= 12
+
+
 def test_postings_dealt_and_met(monkeypatch):
     pa = jaccard_join.pa
     monkeypatch.setattr(jaccard_join, "DEALT", 100)
