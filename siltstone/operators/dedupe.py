@@ -12,31 +12,37 @@ from siltstone.operators.graph import components, cut
 from siltstone.plans.adapters import read, view
 from siltstone.plans.registry import query
 
-#: Widths of the six chunks of a 64-bit hash; three of them make a key.
+#: Widths of the six chunks of a 64-bit hash; all but as many as bits may differ make a key.
 CHUNKS = (11, 11, 11, 11, 10, 10)
 
 
-def _masks() -> list[int]:
+def _masks(most: int) -> list[int]:
     at, masks = 64, []
     for w in CHUNKS:
         at -= w
         masks.append(((1 << w) - 1) << at)
-    return [sum(masks[i] for i in c) for c in combinations(range(6), 3)]
+    return [sum(masks[i] for i in c) for c in combinations(range(6), 6 - most)]
 
 
-def lsh_keys(h):
-    """20 structs (pattern, bits): hashes that differ in at most three bits share one."""
+def lsh_keys(h, most: int = 3):
+    """Structs (pattern, bits), 20 for three bits, 15 for two: hashes that differ in at most ``most`` bits share one."""
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return F.array(*(F.struct(F.lit(i).alias("pattern"), h.bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(_masks())))
+    return F.array(*(F.struct(F.lit(i).alias("pattern"), h.bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(_masks(most))))
 
 
 def near_pairs(docs, most: int = 2):
-    """docs (id, h) -> pairs of hashes (a, b, distance), each hash once however many documents share it."""
-    hashes = cut(docs.where("h is not null").select("h").distinct())
-    keyed = hashes.select("h", F.explode(lsh_keys(F.col("h"))).alias("k"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.expr("a.k = b.k and a.h < b.h")).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
-    return pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= most).distinct()
+    """docs (id, h) -> pairs of hashes (a, b, distance), each hash once however many documents share it.
+
+    Keys are joined by a shuffle, as there are many times more of them than the
+    table's size tells. A pair counts under the first key that it shares.
+    """
+    hashes = cut(docs.select("h").distinct()).where("h is not null")  # a filter before would work out hashes twice
+    keyed = hashes.select("h", F.explode(lsh_keys(F.col("h"), most)).alias("k")).select("h", "k.pattern", "k.bits")
+    a, b = keyed.alias("a"), keyed.hint("merge").alias("b")
+    near = hamming(F.col("a.h"), F.col("b.h")) <= most
+    pairs = a.join(b, F.expr("a.pattern = b.pattern and a.bits = b.bits and a.h < b.h") & near).select("a.pattern", F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+    first = F.array_position(F.transform(F.arrays_zip(lsh_keys(F.col("a"), most).alias("x"), lsh_keys(F.col("b"), most).alias("y")), lambda k: k["x"] == k["y"]), True) - 1
+    return pairs.where(F.col("pattern") == first).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query()
@@ -58,7 +64,7 @@ def simhash_sets(spark, d):
     """Documents with the component of their simhash."""
     docs = cut(read(spark, d, "documents").select("doc_id", "source", simhash_udf("text").alias("h")))
     comp = components(near_pairs(docs).select("a", "b"))
-    return docs.join(comp, docs.h == comp.node, "left").select("doc_id", "source", "h", F.coalesce("component", "h").alias("component"))
+    return docs.join(comp.hint("merge"), docs.h == comp.node, "left").select("doc_id", "source", "h", F.coalesce("component", "h").alias("component"))
 
 
 @query("""WITH g AS (SELECT doc_id, list_distinct([substr(text, i, 3) FOR i IN range(1, greatest(length(text) - 1, 2))]) AS s FROM documents)

@@ -80,15 +80,19 @@ def inverse_links_by_domain(spark, d):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, component): smallest labels spread and jump until they stay."""
+    """(a, b) -> (node, component): smallest labels spread and jump until they stay.
+
+    Joins are by shuffle: the tables' files tell little of their rows, and a
+    broadcast goes through the driver.
+    """
     both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
     label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("least"))
-        step = cut(label.join(near, label.node == near.a).select("node", F.least("component", "least").alias("component")))
-        jump = step.alias("s").join(step.select(F.col("node").alias("n"), F.col("component").alias("c")), F.expr("s.component = n")).select("s.node", F.col("c").alias("component"))
+        near = both.join(label.hint("merge"), both.b == label.node).groupBy("a").agg(F.min("component").alias("least"))
+        step = cut(label.join(near.hint("merge"), label.node == near.a).select("node", F.least("component", "least").alias("component")))
+        jump = step.alias("s").join(step.select(F.col("node").alias("n"), F.col("component").alias("c")).hint("merge"), F.expr("s.component = n")).select("s.node", F.col("c").alias("component"))
         jump = cut(jump)
-        moved = jump.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
+        moved = jump.join(label.withColumnRenamed("component", "was").hint("merge"), "node").where("component <> was").limit(1).count()
         label = jump
         if not moved:
             return label

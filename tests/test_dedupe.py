@@ -4,6 +4,9 @@ import itertools
 import math
 import random
 
+import duckdb
+
+from siltstone.operators import dedupe, graph
 from siltstone.operators.dedupe import cross_domain_near_dupes, cross_domain_scores
 from siltstone.plans import catalog
 
@@ -91,3 +94,29 @@ def test_feeds_of_all_hosts(spark):
         level = [f for f in feeds if f.count("/") == min(x.count("/") for x in feeds)]
         want += [(host, f) for f in level] if len(level) <= 5 else []
     assert found == sorted(want) and any(h.startswith("www.") for h, _ in found)
+
+
+def planned(monkeypatch, module):
+    """Plans of the tables that ``module`` writes from now on."""
+    plans, cut = [], module.cut
+
+    def told(df, *last):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *last)
+
+    monkeypatch.setattr(module, "cut", told)
+    return plans
+
+
+def test_hashes_and_labels_are_not_broadcast(spark, monkeypatch):
+    plans = planned(monkeypatch, graph)
+    rng = random.Random(5)
+    some = [rng.getrandbits(63) for _ in range(60)]
+    hashes = sorted({h ^ (1 << rng.randrange(63)) for h in some for _ in range(3)} | set(some))
+    pairs = dedupe.near_pairs(spark.createDataFrame([(h,) for h in [*hashes, *hashes, None]], "h long"))
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    want = sorted((a, b, (a ^ b).bit_count()) for a, b in itertools.combinations(hashes, 2) if (a ^ b).bit_count() <= 2)
+    assert want and sorted(map(tuple, pairs.collect())) == want
+    comp = {r.node: r.component for r in graph.components(pairs.select("a", "b")).collect()}
+    assert all(comp[a] == comp[b] for a, b, _ in want) and len(plans) > 4
+    assert not [p for p in plans if "Broadcast" in p]
