@@ -37,6 +37,10 @@ def cut(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return made
 
 
+#: Edges of a task.
+TASK_EDGES = 250_000
+
+
 def page_rank(edges: DataFrame, iterations: int = 10, supers: tuple[str, ...] = ()) -> DataFrame:
     """edges (source, source_root, target) -> (node, rank) after fixed iterations.
 
@@ -44,17 +48,20 @@ def page_rank(edges: DataFrame, iterations: int = 10, supers: tuple[str, ...] =
     or averaged over the hosts of a root, then summed over roots:
     0.15 + 0.85 * sum. A node without inlinks has 0.15.
     """
-    edges = cut(edges.distinct())
-    out = edges.groupBy("source").agg(F.count("*").alias("out"))
-    nodes = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct())
-    weighted = cut(edges.join(out, "source"))
+    # parts by the number of edges, so that a task's share stays the same; rows are dealt out before they are made distinct or summed up
+    n = max(edges.sparkSession.sparkContext.defaultParallelism, 1 + edges.count() // TASK_EDGES)
+    edges = cut(edges.repartition(n, "source").distinct())
+    nodes = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).repartition(n, "node").distinct())
+    by_source = edges.repartition(n, "source")
+    weighted = cut(by_source.join(by_source.groupBy("source").agg(F.count("*").alias("out")).hint("merge"), "source"))
     rank = nodes.withColumn("rank", F.lit(1.0))
     for _ in range(iterations):
-        sent = weighted.join(rank, weighted.source == rank.node).select("target", "source_root", "source", (F.col("rank") / F.col("out")).alias("c"))
-        host = sent.groupBy("target", "source_root", "source").agg(F.avg("c").alias("c"))
-        root = host.groupBy("target", "source_root").agg(F.when(F.col("source_root").isin(*supers) if supers else F.lit(False), F.sum("c")).otherwise(F.avg("c")).alias("c"))
+        sent = weighted.repartition(n, "source").join(rank.repartition(n, "node").hint("merge"), F.col("source") == F.col("node"))
+        # edges are distinct, so a host sends a target one contribution
+        sent = sent.select("target", "source_root", (F.col("rank") / F.col("out")).alias("c")).repartition(n, "target")
+        root = sent.groupBy("target", "source_root").agg(F.when(F.col("source_root").isin(*supers) if supers else F.lit(False), F.sum("c")).otherwise(F.avg("c")).alias("c"))
         total = root.groupBy("target").agg(F.sum("c").alias("c"))
-        rank = cut(nodes.join(total, nodes.node == total.target, "left").select("node", (0.15 + 0.85 * F.coalesce("c", F.lit(0.0))).alias("rank")), rank)
+        rank = cut(nodes.repartition(n, "node").join(total.hint("merge"), F.col("node") == F.col("target"), "left").select("node", (0.15 + 0.85 * F.coalesce("c", F.lit(0.0))).alias("rank")), rank)
     return rank
 
 

@@ -81,3 +81,22 @@ def test_streams(spark):
 
 def test_hamming(spark):
     assert spark.range(1).select(hamming(F.lit(-1).cast("long"), F.lit(0).cast("long"))).first()[0] == 64
+
+
+def test_a_task_of_page_rank_has_so_many_edges(spark, monkeypatch):
+    from siltstone.operators import graph
+
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)
+    monkeypatch.setattr(graph, "cut", lambda df, *last: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *last))[1])
+    edges = [(f"s{i % 40}", f"r{i % 4}", f"t{i * i % 37}") for i in range(300)]
+    ranks = {r.node: r.rank for r in graph.page_rank(spark.createDataFrame(edges, "source string, source_root string, target string"), 1).collect()}
+    out, got = {}, {}
+    for s, r, t in set(edges):
+        out[s] = out.get(s, 0) + 1
+    for s, r, t in set(edges):
+        got.setdefault(t, {}).setdefault(r, []).append(1 / out[s])
+    want = {n: 0.15 + 0.85 * sum(sum(c) / len(c) for c in got.get(n, {}).values()) for e in edges for n in (e[0], e[2])}
+    assert ranks.keys() == want.keys() and all(abs(ranks[n] - want[n]) < 1e-9 for n in want)
+    shuffles = [x for p in plans for x in p.split("\n") if "hashpartitioning" in x]
+    assert shuffles and all(", 31), REPARTITION_BY_NUM" in x for x in shuffles) and not [p for p in plans if "Broadcast" in p]
