@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ from siltstone.plans.registry import query
 CHUNKS = (11, 11, 11, 11, 10, 10)
 
 
+#: Fills up short texts; no text holds it, as it is a half of a pair.
+_NO_CHARACTER = "\udfff"
+#: Neighbouring ids that stay together, and bytes of text of a task.
+RUN, TASK_BYTES = 64, 16 << 20
+
+
 def _masks(most: int) -> list[int]:
     at, masks = 64, []
     for w in CHUNKS:
@@ -67,19 +75,50 @@ def simhash_sets(spark, d):
     return docs.join(comp.hint("merge"), docs.h == comp.node, "left").select("doc_id", "source", "h", F.coalesce("component", "h").alias("component"))
 
 
+def _grams(text: str | None) -> np.ndarray:
+    """The sorted distinct 3-grams of code points, each exactly one number; a shorter text is its only gram, null has none."""
+    if text is None:
+        return np.zeros(0, np.uint64)
+    if len(text) < 3:
+        text = text + _NO_CHARACTER * (3 - len(text))
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique(u[:-2] << np.uint64(42) | u[1:-1] << np.uint64(21) | u[2:])
+
+
+def _neighbours(batches):
+    """Rows (run, doc_id, text) sorted by both: (a, b, jaccard) of all rows of an id and the next one in a run."""
+    at, last, now = None, [], []
+    for batch in batches:
+        out = [], [], []
+        for run, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != (run, i):
+                last = now if at == (run, i - 1) else []
+                at, now = (run, i), []
+            s = _grams(text)
+            now.append(s)
+            for x in last:
+                both = len(x) + len(s) and len(np.intersect1d(x, s, assume_unique=True))
+                of = len(x) + len(s) - both
+                for column, v in zip(out, (i - 1, i, both / of if of else float("nan")), strict=True):
+                    column.append(v)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "jaccard"])
+
+
 @query("""WITH g AS (SELECT doc_id, list_distinct([substr(text, i, 3) FOR i IN range(1, greatest(length(text) - 1, 2))]) AS s FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM g a JOIN g b ON a.doc_id + 1 = b.doc_id """)
 def jaccard_shingles(spark, d):
-    """Jaccard similarity of the 3-gram sets of documents with neighbouring ids."""
-    t = F.col("text")
-    chars = F.split(t, "")
-    n = F.greatest(F.length(t) - 2, F.lit(1))
-    three = F.arrays_zip(*(F.slice(chars, F.lit(i), n).alias(c) for i, c in ((1, "a"), (2, "b"), (3, "c"))))
-    grams = F.array_distinct(F.transform(three, lambda x: F.concat(x["a"], x["b"], x["c"])))
-    g = read(spark, d, "documents").select("doc_id", F.when(F.length(t) >= 3, grams).otherwise(F.array(t)).alias("s"))
-    a, b = g.alias("a"), g.alias("b")
-    j = F.size(F.array_intersect("a.s", "b.s")) / F.size(F.array_union("a.s", "b.s"))
-    return a.join(b, F.expr("a.doc_id + 1 = b.doc_id")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.round(j, 6).alias("jaccard"))
+    """Jaccard similarity of the 3-gram sets of documents with neighbouring ids.
+
+    Ids lie in runs; a run's first rows go to the run before as well. So each text moves
+    once, or twice for one id in ``RUN``, and a task holds the sets of two ids.
+    """
+    docs = read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    run = F.floor(F.col("doc_id") / RUN)
+    runs = F.when(F.pmod("doc_id", F.lit(RUN)) == 0, F.array(run, run - 1)).otherwise(F.array(run))
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, 1 + bytes_ // TASK_BYTES)
+    rows = docs.select(F.explode(runs).alias("run"), "doc_id", "text").repartition(n, "run").sortWithinPartitions("run", "doc_id")
+    return rows.mapInArrow(_neighbours, "a long, b long, jaccard double").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")

@@ -120,3 +120,13 @@ def test_hashes_and_labels_are_not_broadcast(spark, monkeypatch):
     comp = {r.node: r.component for r in graph.components(pairs.select("a", "b")).collect()}
     assert all(comp[a] == comp[b] for a, b, _ in want) and len(plans) > 4
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_shingles_of_odd_texts_as_sql_has_them(spark, tmp_path):
+    texts = [None, None, "abcd", None, "", "", "a", "ab", "a😀bc", "a😀bd", "abc", "ab", "ab", "\u0301e\u0301e"]
+    rows = [(i + 60, t) for i, t in enumerate(texts)] + [(61, "abc"), (64, "abcab"), (None, "abc"), (-64, "abc"), (-65, "abcd"), (-63, "cba"), (200, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(str, c.execute(catalog.oracle_sql()["jaccard_shingles"]).fetchall()))
+    assert len(want) > 15 and sorted(str(tuple(r)) for r in dedupe.jaccard_shingles(spark, str(tmp_path)).collect()) == want
