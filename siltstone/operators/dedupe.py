@@ -18,6 +18,8 @@ from siltstone.plans.registry import query
 CHUNKS = (11, 11, 11, 11, 10, 10)
 
 
+#: Parts in a block of their group, or so, and pairs of a task.
+BLOCK, TASK_PAIRS = 256, 4_000_000
 #: Fills up short texts; no text holds it, as it is a half of a pair.
 _NO_CHARACTER = "\udfff"
 #: Neighbouring ids that stay together, and bytes of text of a task.
@@ -123,10 +125,22 @@ def jaccard_shingles(spark, d):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def levenshtein_samples(spark, d):
-    p = read(spark, d, "part")
-    a, b = p.alias("a"), p.alias("b")
-    on = F.expr("a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
-    return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.levenshtein("a.p_name", "b.p_name").alias("distance"))
+    """Pairs of parts of one brand, type and size, in blocks; there are as many tasks as the pairs need."""
+    group = ["p_brand", "p_type", "p_size"]
+    p = read(spark, d, "part").select("p_partkey", "p_name", *group).dropna(subset=["p_partkey", *group])
+    sizes = cut(p.groupBy(*group).agg(F.count("*").alias("c")).where("c > 1"))
+    pairs = sizes.agg(F.sum(F.expr("cast(c as double) * c / 2"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, 1 + int(pairs) // TASK_PAIRS)
+    block = F.expr(f"cast(pmod(xxhash64(p_partkey), ceil(c / {BLOCK})) as int)").alias("block")
+    item = F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"))
+    blocks = cut(p.join(sizes.hint("merge"), group).groupBy(*group, block).agg(F.collect_list(item).alias("items")))
+    a, b = blocks.alias("a"), blocks.hint("merge").alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group] + [F.col("a.block") <= F.col("b.block")])
+    # rows of blocks are dealt out one by one, so that large groups lie in many tasks
+    met = met.select((F.col("a.block") == F.col("b.block")).alias("own"), F.col("a.items").alias("x"), F.col("b.items").alias("y")).repartition(n)
+    both = met.select("own", F.explode("x").alias("x"), "y").select("own", "x", F.explode("y").alias("y")).where("not own or x.k < y.k")
+    least, most = F.expr("if(x.k < y.k, x, y)"), F.expr("if(x.k < y.k, y, x)")
+    return both.select(least["k"].alias("a"), most["k"].alias("b"), F.levenshtein("x.t", "y.t").alias("distance"))
 
 
 @query("""WITH t AS (SELECT md5(text) AS m, source, doc_id % 97 AS ip, n_chars FROM documents), g AS (SELECT m, count(DISTINCT source) AS roots FROM t GROUP BY m HAVING count(*) > 1),

@@ -130,3 +130,15 @@ def test_shingles_of_odd_texts_as_sql_has_them(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = sorted(map(str, c.execute(catalog.oracle_sql()["jaccard_shingles"]).fetchall()))
     assert len(want) > 15 and sorted(str(tuple(r)) for r in dedupe.jaccard_shingles(spark, str(tmp_path)).collect()) == want
+
+
+def test_large_groups_of_parts_lie_in_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK", 8)
+    monkeypatch.setattr(dedupe, "TASK_PAIRS", 100)
+    rng = random.Random(6)
+    rows = [(i // 2 if i < 6 else i, None if i == 9 else "".join(rng.choices("ab é", k=rng.randrange(6))), None if i == 50 else "x", "t" if i < 60 else f"t{i // 3}", 1) for i in range(80)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = dedupe.levenshtein_samples(spark, str(tmp_path))
+    want = sorted(str((a[0], b[0], None if None in (a[1], b[1]) else distance(a[1], b[1]))) for a in rows for b in rows if a[0] < b[0] and a[2:] == b[2:] and a[2])
+    assert sorted(str(tuple(r)) for r in found.collect()) == want
+    assert len([p for p in found.rdd.glom().map(len).collect() if p]) > 8
