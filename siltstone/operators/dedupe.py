@@ -31,13 +31,13 @@ def _masks(most: int) -> list[int]:
     for w in CHUNKS:
         at -= w
         masks.append(((1 << w) - 1) << at)
-    return [sum(masks[i] for i in c) for c in combinations(range(6), 6 - most)]
+    keys = (sum(masks[i] for i in c) for c in combinations(range(6), 6 - most))
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in keys]  # as signed numbers
 
 
 def lsh_keys(h, most: int = 3):
     """Structs (pattern, bits), 20 for three bits, 15 for two: hashes that differ in at most ``most`` bits share one."""
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return F.array(*(F.struct(F.lit(i).alias("pattern"), h.bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(_masks(most))))
+    return F.array(*(F.struct(F.lit(i).alias("pattern"), h.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(_masks(most))))
 
 
 def near_pairs(docs, most: int = 2):
@@ -51,7 +51,8 @@ def near_pairs(docs, most: int = 2):
     a, b = keyed.alias("a"), keyed.hint("merge").alias("b")
     near = hamming(F.col("a.h"), F.col("b.h")) <= most
     pairs = a.join(b, F.expr("a.pattern = b.pattern and a.bits = b.bits and a.h < b.h") & near).select("a.pattern", F.col("a.h").alias("a"), F.col("b.h").alias("b"))
-    first = F.array_position(F.transform(F.arrays_zip(lsh_keys(F.col("a"), most).alias("x"), lsh_keys(F.col("b"), most).alias("y")), lambda k: k["x"] == k["y"]), True) - 1
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(_masks(most))))
     return pairs.where(F.col("pattern") == first).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
